@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality_rules
+from . import bpe, licenses, packing, quality_rules
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), pattern())
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rank file holds the vocabulary of byte_bpe_50k.json; a test compares the ids
+    return packing.pack_texts(table(spark, sf_dir, "documents"), packing.encode_with(tokenizer_file("byte_bpe_50k.tiktoken"), pattern(), end=1))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
