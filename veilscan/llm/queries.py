@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality_rules
+from . import bpe, licenses, packing, quality_rules, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, limit=4)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rank file holds the vocabulary of byte_bpe_50k.json; a test compares the ids
     return packing.pack_texts(table(spark, sf_dir, "documents"), packing.encode_with(tokenizer_file("byte_bpe_50k.tiktoken"), pattern(), end=1))
