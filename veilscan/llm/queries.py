@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, licenses, packing, quality_rules, simhash, substrings
+from . import ann, bpe, html_extract, licenses, packing, quality_model, quality_rules, simhash, substrings
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), packing.encode_with(tokenizer_file("byte_bpe_50k.tiktoken"), pattern(), end=1))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), least=50)
 
