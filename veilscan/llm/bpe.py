@@ -108,7 +108,7 @@ class Transducer:
     #: Bytes after which the certain tokens of a long piece are emitted.
     SETTLE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 350_000):
         self.merges, self.most = Merges(ranks), states
         self.trie: list[dict[int, int]] = [{}]
         self.token, self.depth = [-1], [0]
@@ -219,7 +219,7 @@ class Encoder:
     """Texts to packed ids. A text is cut before single spaces that follow other text - no match of the pattern crosses these -
     and the ids of short segments and pieces used lately are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
         self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.pieces, self.segments = Kept(self._piece, most // 2), Kept(self._segment, most)
 
@@ -282,6 +282,7 @@ class Decoder:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for b, t in ranks.items():
             self.bytes[t] = b
+        self.decimal = [b",%d" % t for t in range(len(self.bytes))]
         self.plain = np.array([self._run(0, b) == 0 for b in self.bytes])
         self._steps: dict[tuple[int, int], int] = {}
         self.reset()
@@ -353,9 +354,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
         for text in texts_of(b):
             got = enc.encode(text)
             n.append(len(got))
-            hashes.append(hashlib.sha256(",".join(map(str, got.tolist())).encode()).hexdigest())
             dec.reset()
-            raw = dec.raw(got)
+            dec.advance(got)
+            row = got.tolist()
+            hashes.append(hashlib.sha256(b"".join(map(dec.decimal.__getitem__, row))[1:]).hexdigest())
+            raw = b"".join(map(dec.bytes.__getitem__, row))
             texts.append(hashlib.sha256(raw).hexdigest())
             sizes.append(len(raw))
             valid.append(dec.finish())
