@@ -12,6 +12,7 @@ returned; ties go to the smaller vec_id; extra columns are not read; an empty ta
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +30,8 @@ class Settings:
     projections: int = 64
     collisions: int = 30
     sure: float = 0.97
-    widen: float = 1.25
-    block: int = 8192
+    widen: float = 1.15
+    block: int = 16384
     queries: int = 1024
     seed: int = 11
 
@@ -58,42 +59,44 @@ class Block:
         self.place = np.take_along_axis(at, self.order, 1)
         self.rough = x.astype(np.float32)
         self.reach = enough(s.projections, s.collisions, s.sure)
-        self.step = self.reach * largest * 0.5
+        self.step = self.reach * largest * 0.6
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query (its place in q, ids of the best k, scores)."""
         m, n = self.s.projections, len(self.x)
-        center = q @ self.lines[:-1]
+        center = np.ascontiguousarray((q @ self.lines[:-1]).T)
         norm = np.einsum("ij,ij->i", q, q)
-        start = np.stack([np.searchsorted(self.place[j], center[:, j]) for j in range(m)], 1)
+        start = np.stack([self.place[j].searchsorted(center[j]) for j in range(m)], 1)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []  # the windows of all queries at each width
+
+        def window(r: int) -> tuple[np.ndarray, np.ndarray]:
+            if r == len(steps):
+                t = self.step * self.s.widen**r
+                steps.append(tuple(np.stack([self.place[j].searchsorted(center[j] + x, side) for j in range(m)], 1) for x, side in ((-t, "left"), (t, "right"))))
+            return steps[r]
+
         for i in range(len(q)):
-            low, high = start[i].copy(), start[i].copy()
+            low = high = start[i]
             count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
             ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-            own = self.ids == q_ids[i]
-            t, last = self.step, False
-            while True:
-                to_low = np.array([self.place[j].searchsorted(center[i, j] - t, "left") for j in range(m)])
-                to_high = np.array([self.place[j].searchsorted(center[i, j] + t, "right") for j in range(m)])
-                fresh = [self.order[j, a:b] for j in range(m) for a, b in ((to_low[j], low[j]), (high[j], to_high[j])) if a < b]
+            seen[self.ids == q_ids[i]] = True
+            rough = q[i].astype(np.float32)
+            for r in itertools.count():
+                to_low, to_high = (x[i] for x in window(r))
+                fresh = [self.order[j, a:b] for ends in (zip(to_low.tolist(), low.tolist(), strict=True), zip(high.tolist(), to_high.tolist(), strict=True)) for j, (a, b) in enumerate(ends) if a < b]
                 if fresh:
                     count += np.bincount(np.concatenate(fresh), minlength=n)
-                low, high = np.minimum(low, to_low), np.maximum(high, to_high)
-                new = np.nonzero((count >= self.s.collisions) & ~seen & ~own)[0]
+                low, high = to_low, to_high
+                new = np.nonzero((count >= self.s.collisions) & ~seen)[0]
                 if len(new):
                     seen[new] = True
-                    ids, scores = np.r_[ids, new], np.r_[scores, self.rough[new] @ q[i].astype(np.float32)]
-                if last or (low == 0).all() and (high == n).all():
+                    ids, scores = np.r_[ids, new], np.r_[scores, self.rough[new] @ rough]
+                if (low == 0).all() and (high == n).all():
                     break
                 if len(scores) >= k:
-                    kth = np.partition(scores, -k)[-k]
-                    need = self.reach * math.sqrt(max(norm[i] + self.largest**2 - 2 * float(kth), 0.0))
-                    if need <= t:
+                    kth = float(np.partition(scores, -k)[-k])
+                    if self.reach * math.sqrt(max(norm[i] + self.largest**2 - 2 * kth, 0.0)) <= self.step * self.s.widen**r:
                         break
-                    last = need <= t * self.s.widen
-                    t = need if last else t * self.s.widen
-                else:
-                    t *= self.s.widen
             if len(ids) > k:  # rounding of the rough scores cannot part these
                 slack = 1e-5 * max(1.0, math.sqrt(norm[i]) * self.largest)
                 ids = ids[scores >= np.partition(scores, -k)[-k] - slack]
