@@ -103,3 +103,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, he
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), mod) == held_out).alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def passing(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, **how) -> DataFrame:
+    """The rows of docs whose score is high enough, with all their columns; no shuffle."""
+    model = train(docs, labels, **how)
+    at = docs.columns.index("text")
+
+    def kept(it):
+        machines = model.machines() if len(model.weights) else []
+        for b in it:
+            x = np.array([model.measure(machines, (t.as_py() or "").encode()) for t in b.column(at)] if machines else np.zeros((b.num_rows, 3))).reshape(-1, 3)
+            yield b.filter(pa.array(model.score(x) >= at_least))
+
+    return docs.mapInArrow(kept, docs.schema)

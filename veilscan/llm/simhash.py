@@ -70,14 +70,14 @@ def packed(bits: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, long: int, decided: int = 0) -> DataFrame:
-    """doc_id, f0.. (as signed longs), and with decided the numbers 2 * bit + value of the most decided of the first 128 bits, the lowest bit first among equals."""
+    """doc_id, key (a hash of the text), f0.. (as signed longs), and with decided the numbers 2 * bit + value of the most decided of the first 128 bits, the lowest bit first among equals."""
     names = [f"f{w}" for w in range(long)]
 
     def rows(b: pa.RecordBatch) -> dict:
         scores = [lead(shingle_hashes(x.lower().split(), shingle), long) for x in bytes_of(b)]
         s = np.array(scores).reshape(-1, 64 * long)
         f = packed(s > 0).view(np.int64).reshape(-1, long)
-        out = {"doc_id": b.column(0)} | {n: f[:, w] for w, n in enumerate(names)}
+        out = {"doc_id": b.column(0), "key": b.column(2)} | {n: f[:, w] for w, n in enumerate(names)}
         if decided:
             part = s[:, :128]
             order = np.argsort(-np.abs(part), axis=1, kind="stable")[:, :decided]
@@ -85,9 +85,9 @@ def fingerprints(docs: DataFrame, shingle: int, long: int, decided: int = 0) ->
             out["top"] = list((2 * order + (np.take_along_axis(part, order, 1) > 0)).astype(np.int32))
         return out
 
-    fields = [("doc_id", pa.int64()), *((n, pa.int64()) for n in names)] + [("top", pa.list_(pa.int32()))] * bool(decided)
-    text = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", top array<int>" * bool(decided)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches(rows, pa.schema(fields)), text)
+    fields = [("doc_id", pa.int64()), ("key", pa.int64()), *((n, pa.int64()) for n in names)] + [("top", pa.list_(pa.int32()))] * bool(decided)
+    text = "doc_id long, key long, " + ", ".join(f"{n} long" for n in names) + ", top array<int>" * bool(decided)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(batches(rows, pa.schema(fields)), text)
 
 
 # ---------------------------------------------------------------- the index of the buckets
@@ -269,7 +269,7 @@ def links(nodes: DataFrame, limit: int, long: int = 1, share: int = 0) -> DataFr
     n = nodes.count()
     f = "".join(f", f{w} long" for w in range(long))
     if share:
-        keys, route = 56, _route_decided(share, long)
+        keys, route = math.comb(DECIDED, share), _route_decided(share, long)
         src = nodes.select("node", *(f"f{w}" for w in range(long)), "top")
     else:
         sets = _block_sets(limit, n)
@@ -289,3 +289,54 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
     named = named.select("f0", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id"))
     out = prints.join(named, "f0")  # the hot fingerprints are on the left, one row for each on the right: a skewed join is split
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies
+
+#: Near copies: shingles of five words, 256 bits. A Jaccard similarity of 0.8 leaves about 39 bits different, seldom over LOOSE; under TIGHT none below 0.8 has been
+#: seen, and such links need no second look. Sets of SHARE of the DECIDED most decided bits route.
+LONG, TIGHT, LOOSE, DECIDED, SHARE = 4, 22, 52, 8, 3
+
+
+def _sets(shingle: int):
+    def rows(b: pa.RecordBatch) -> dict:
+        return {"node": b.column(0), "set": [np.unique(shingle_hashes(x.lower().split(), shingle)).tobytes() for x in bytes_of(b)]}
+
+    return batches(rows, pa.schema([("node", pa.int64()), ("set", pa.binary())]))
+
+
+def _alike(least: float):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= least * (len(p) + len(q) - both))
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the shingles the row of the smallest doc_id stays.
+
+    Links are found by fingerprints and verified on the shingles where the fingerprints don't settle it. Rows of equal doc_id and text count as one;
+    rows without doc_id stay only if no named row is in their group."""
+    prints = stored(fingerprints(docs, shingle, LONG, DECIDED), "prints")
+    nodes = stored(distinct_nodes(prints, LONG), "nodes")
+    near = stored(links(nodes, LOOSE, LONG, SHARE), "links")
+    unsure = near.where(F.col("bits") > TIGHT)
+    ends = unsure.select(F.col("a").alias("doc_id")).union(unsure.select("b")).distinct()
+    own = docs.join(ends, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    sets = stored(own.mapInArrow(_sets(shingle), "node long, set binary"), "sets")
+    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    sure = pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    roots = components(near.where(F.col("bits") <= TIGHT).select("a", "b").union(sure))
+    f = [f"f{w}" for w in range(LONG)]
+    named = nodes.join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("root"))
+    gone = prints.join(named, f).where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.when(F.col("root") < NAMELESS, F.col("root")).otherwise(F.lit(NAMELESS)))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_key"] == gone["_key"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_key"]).select(docs.columns)

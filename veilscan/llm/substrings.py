@@ -94,7 +94,7 @@ class Chunk:
             for n in sizes.as_py():
                 texts.append(raw[at : at + n])
                 at += n
-        order = np.lexsort([keys, ids])
+        order = self.order = np.lexsort([keys, ids])
         self.ids, self.texts = ids[order], [texts[k] for k in order]
         kind = side.column("kind").to_numpy()
         gone = set(zip(side.column("id").filter(pa.array(kind == 0)).to_pylist(), side.column("key").filter(pa.array(kind == 0)).to_pylist(), strict=True))
@@ -167,6 +167,19 @@ class Chunk:
         return np.cumsum(edge[:-1]) > 0
 
 
+    def left(self) -> Iterator[tuple[np.ndarray | None, bytes]]:
+        """For each document what is removed (None: all or nothing) and what stays."""
+        gone, at = self.covered(), 0
+        size = iter(self.size.tolist())
+        for copy, text in zip(self.copy.tolist(), self.texts, strict=True):
+            if copy:
+                yield None, b"" if len(text) >= self.plan.least else text
+                continue
+            own = gone[at : at + (step := next(size))]
+            at += step
+            yield (own, np.frombuffer(text, np.uint8)[~own].tobytes()) if own.any() else (None, text)
+
+
 def _cuts(r: np.ndarray) -> Iterator[tuple[int, int, int]]:
     if len(r):
         head = np.nonzero(np.r_[True, r[1:] != r[:-1]])[0]
@@ -212,23 +225,26 @@ def _answer(full: bool):
     return run
 
 
+def _rewritten(plan: Plan, at: int, names: list[str]):
+    """The rows themselves, with what is left of their text. at: the place of the text among the columns."""
+
+    def run(key, docs, side):
+        c = Chunk(plan, docs, side)
+        rest = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in docs.column("rest")]).take(pa.array(c.order))
+        kept = pa.array([t.decode("utf-8", "ignore") for _, t in c.left()], pa.string())
+        return rest.add_column(at, "text", kept).select(names)
+
+    return run
+
+
 def _results(plan: Plan, texts: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * texts
 
     def run(key, docs: pa.Table, side: pa.Table) -> pa.Table:
-        c = Chunk(plan, docs, side)
-        gone, rows, at = c.covered(), [], 0
-        size = iter(c.size.tolist())
-        for k, (i, text) in enumerate(zip(c.ids.tolist(), c.texts, strict=True)):
-            if c.copy[k]:
-                n = len(text) if len(text) >= plan.least else 0
-                spans, kept = int(n > 0), b"" if n else text
-            else:
-                own = gone[at : at + (step := next(size))]
-                at += step
-                n = int(own.sum())
-                spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-                kept = np.frombuffer(text, np.uint8)[~own].tobytes() if n else text
+        c, rows = Chunk(plan, docs, side), []
+        for i, text, (own, kept) in zip(c.ids.tolist(), c.texts, c.left(), strict=True):
+            n = len(text) - len(kept)
+            spans = 0 if not n else 1 if own is None else int(own[0]) + int((own[1:] & ~own[:-1]).sum())
             rows.append((None if i == LAST else i, len(text), n, spans, hashlib.sha256(kept).hexdigest(), *((kept,) if texts else ())))
         cols = list(zip(*rows, strict=True)) or [()] * len(fields)
         return pa.table([pa.array(x, t) for x, (_, t) in zip(cols, fields, strict=True)], schema=pa.schema(fields))
@@ -249,7 +265,14 @@ def _dealer(bounds: np.ndarray):
             for c, a, z in _cuts(chunk[order]):
                 own = order[a:z]
                 parts = [texts[k].as_py() for k in own.tolist()]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "ids": pa.array([ids[own]], pa.list_(pa.int64())), "keys": pa.array([keys[own]], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in parts]], pa.list_(pa.int32())), "blob": pa.array([press.compress(b"".join(parts))], pa.binary())})
+                extra = {}
+                if b.num_columns > 3:
+                    sink = pa.BufferOutputStream()
+                    part = pa.Table.from_batches([b]).drop_columns(b.schema.names[:3]).take(pa.array(own)).combine_chunks()
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_table(part)
+                    extra["rest"] = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "ids": pa.array([ids[own]], pa.list_(pa.int64())), "keys": pa.array([keys[own]], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in parts]], pa.list_(pa.int32())), "blob": pa.array([press.compress(b"".join(parts))], pa.binary())} | extra)
 
     return run
 
@@ -262,17 +285,20 @@ def _chunk_of(bounds: np.ndarray):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = False, rewrite: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts also kept (binary): every byte is removed that a string of `least` bytes covers
-    which also starts in a document with a smaller doc_id."""
+    which also starts in a document with a smaller doc_id. rewrite: instead the rows of docs with all their columns and what is left of the text
+    (what a cut leaves of a character is dropped)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(least, total)
     n = max(1, math.ceil(total / CHUNK))
     cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
-    keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    dealt = keyed.mapInArrow(_dealer(bounds), "chunk int, ids array<long>, keys array<long>, sizes array<int>, blob binary")
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    rest = [F.col(c) for c in docs.columns if c != "text"] if rewrite else []
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(body).alias("_key"), body.alias("_text"), *rest)
+    dealt = keyed.mapInArrow(_dealer(bounds), "chunk int, ids array<long>, keys array<long>, sizes array<int>, blob binary" + ", rest binary" * rewrite)
 
     sums = rows.select("id", F.xxhash64("text").alias("key"), F.md5("text").alias("sum"))
     first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("most")).where("first < most")
@@ -290,5 +316,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = False) -> Dat
     for kind, full in ((1, False), (2, True)):
         sent = together(side).applyInArrow(_sender(plan, full), SENT)
         side = side.unionByName(told(sent.groupBy("r").applyInArrow(_answer(full), SENT), kind))
+    if rewrite:
+        return together(side).applyInArrow(_rewritten(plan, docs.columns.index("text"), docs.columns), docs.schema)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return together(side).applyInArrow(_results(plan, texts), schema)
