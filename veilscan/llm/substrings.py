@@ -35,7 +35,7 @@ from .common import stored
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-CHUNK, RANGE = 8_000_000, 10_000_000
+CHUNK, RANGE, PART = 8_000_000, 10_000_000, 1_000_000
 LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,6 +94,7 @@ class Chunk:
             for n in sizes.as_py():
                 texts.append(raw[at : at + n])
                 at += n
+            del raw
         order = self.order = np.lexsort([keys, ids])
         self.ids, self.texts = ids[order], [texts[k] for k in order]
         kind = side.column("kind").to_numpy()
@@ -104,7 +105,7 @@ class Chunk:
         self.size = np.array([len(x) for x in parts], np.int64)
         self.start = np.r_[0, np.cumsum(self.size)]
         self.buf = np.frombuffer(b"".join(parts) + bytes(80), np.uint8)
-        self.doc = np.repeat(np.unique(self.ids[self.own], return_inverse=True)[1].astype(np.int32), self.size)  # equal ids: one document
+        self.number = np.unique(self.ids[self.own], return_inverse=True)[1].astype(np.int32)  # equal ids: one document
         self.side = {k: self._answers(side, kind == k) for k in (1, 2)}
 
     @staticmethod
@@ -112,22 +113,34 @@ class Chunk:
         t = side.filter(pa.array(at))
         return dict(zip(t.column("r").to_pylist(), t.column("data").to_pylist(), strict=True))
 
+    def parts(self) -> Iterator[tuple[int, int]]:
+        """Runs of documents of about PART bytes: what is made for each byte is made for one run at a time."""
+        cut = np.nonzero(np.diff(self.start[:-1] // PART, prepend=-1))[0]
+        yield from zip(cut.tolist(), [*cut[1:].tolist(), len(self.size)], strict=True)
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return self.number[np.searchsorted(self.start[1:], at, side="right")]
+
     def _grouped(self, q: np.ndarray, at: np.ndarray):
         """The order of q, the heads of its runs, and the first and last document of each run."""
         order = np.argsort(q, kind="stable")
         s = q[order]
         head = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0] if len(s) else np.zeros(0, np.int64)
-        d = self.doc[at][order]
+        d = self.doc(at)[order]
         low, high = (np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)) if len(head) else (d, d)
         return order, s[head], np.diff(np.r_[head, len(s)]), low, high
 
     def sample(self):
-        n = len(self.buf) - 80
-        inside = np.arange(n, dtype=np.int32) - np.repeat(self.start[:-1].astype(np.int32), self.size)
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
-        at = np.nonzero(cover[inside % PERIOD] & (inside + self.plan.width <= np.repeat(self.size.astype(np.int32), self.size)))[0]
-        q = name_of(self.buf, at, self.plan.width) >> np.uint64(64 - self.plan.bits)
+        found = [np.zeros(0, np.int64)]
+        for a, b in self.parts():
+            size = self.size[a:b].astype(np.int32)
+            inside = np.arange(size.sum(), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size)
+            found.append(np.nonzero(cover[inside % PERIOD] & (inside + self.plan.width <= np.repeat(size, size)))[0] + self.start[a])
+        at = np.concatenate(found)
+        q = name_of(self.buf, at, self.plan.width)
+        q >>= np.uint64(64 - self.plan.bits)
         return at, *self._grouped(q, at)
 
     def _told(self, names: np.ndarray, bits: int, kind: int) -> np.ndarray:
@@ -143,14 +156,19 @@ class Chunk:
         hit = np.zeros(len(at), bool)
         hit[order] = np.repeat(self._told(names, self.plan.bits, 1) | (low != high), count)
         seen = at[hit]
-        del at, order, names, count
-        n = len(self.buf) - 80
-        edge = np.zeros(n + 1, np.int32)
-        first = self.start[np.searchsorted(self.start, seen, side="right") - 1]
-        np.add.at(edge, np.maximum(seen - PERIOD + 1, first), 1)
-        np.add.at(edge, seen + 1, -1)
-        left = np.repeat(self.start[1:], self.size) - self.plan.least
-        where = np.nonzero((np.cumsum(edge[:-1]) > 0) & (np.arange(n) <= left))[0]
+        del at, order, names, count, low, high, hit
+        found = [np.zeros(0, np.int64)]
+        for a, b in self.parts():
+            own = seen[np.searchsorted(seen, self.start[a]) : np.searchsorted(seen, self.start[b])]
+            if not len(own):
+                continue
+            edge = np.zeros(self.start[b] - self.start[a] + 1, np.int32)
+            first = self.start[np.searchsorted(self.start, own, side="right") - 1]
+            np.add.at(edge, np.maximum(own - PERIOD + 1, first) - self.start[a], 1)
+            np.add.at(edge, own + 1 - self.start[a], -1)
+            where = np.nonzero(np.cumsum(edge[:-1], dtype=np.int32))[0] + self.start[a]
+            found.append(where[where + self.plan.least <= self.start[np.searchsorted(self.start, where, side="right")]])
+        where = np.concatenate(found)
         return where, *self._grouped(name_of(self.buf, where, self.plan.least), where)
 
     def covered(self) -> np.ndarray:
@@ -160,12 +178,18 @@ class Chunk:
         gone[order] = np.repeat(self._told(names, 64, 2), count)
         first = np.zeros(len(at), np.int32)
         first[order] = np.repeat(low, count)
-        start = at[gone | (self.doc[at] > first)]
-        edge = np.zeros(len(self.buf) - 79, np.int32)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + self.plan.least, -1)
-        return np.cumsum(edge[:-1]) > 0
-
+        start = at[gone | (self.doc(at) > first)]
+        del at, order, names, count, low, gone, first
+        out = np.zeros(len(self.buf) - 80, bool)
+        for a, b in self.parts():
+            low, high = self.start[a], self.start[b]
+            own = start[np.searchsorted(start, low) : np.searchsorted(start, high)] - low
+            if len(own):
+                edge = np.zeros(high - low + 1, np.int32)
+                np.add.at(edge, own, 1)
+                np.add.at(edge, own + self.plan.least, -1)
+                out[low:high] = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        return out
 
     def left(self) -> Iterator[tuple[np.ndarray | None, bytes]]:
         """For each document what is removed (None: all or nothing) and what stays."""
