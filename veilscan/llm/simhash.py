@@ -123,7 +123,8 @@ class Index:
         """Links (a, b, bits) between items of the same bucket within the limit: a spanning forest of each component. item: the number (below n) of each row."""
         label, found = np.arange(n), []
         top = len(self.levels) - 1
-        todo = [(top, *(np.nonzero(self.levels[top]["count"] > 1 if top else np.zeros(0, bool))[0],) * 2)] if top else []
+        roots = np.arange(len(self.levels[top]["first"]))
+        todo = [(top, roots, roots)] if top else []
         spread = self._spread(label[item])
         while todo:
             at, u, v = todo.pop()
