@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by collision counting over query-aware projections.
 
-Inner products become distances by one more component, sqrt(M * M - x.x), M being the largest norm of all rows. Rows are dealt into
-blocks; a block sorts its rows on each of `projections` random lines. A query opens a window around its own place on every line and
+Rows are dealt into blocks of like norm (within a fifth), so that inner products become distances by one more, small component,
+sqrt(M * M - x.x), M being the block's largest norm. A block sorts its rows on each of `projections` random lines. A query opens a window around its own place on every line and
 widens all of them step by step (virtual rehashing); a row that lies in `collisions` windows or more is verified. The windows have
 been wide enough once a row as far as the k-th best verified one would have collided often enough with probability `sure`. Every
 row is in a block and every query sees every block; the blocks' best are merged by exact score.
@@ -49,8 +49,9 @@ def enough(m: int, least: int, sure: float) -> float:
 class Block:
     """Rows of one block with a sorted array for each line."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float, s: Settings):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, s: Settings):
         self.ids, self.x, self.s = ids, x, s
+        largest = math.sqrt(float(np.einsum("ij,ij->i", x, x).max()))
         self.lines = np.random.default_rng(s.seed).standard_normal((x.shape[1] + 1, s.projections))
         rest = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", x, x), 0))
         self.largest = largest
@@ -108,7 +109,7 @@ class Block:
 OUT = "query_id long, vec_id long, score double"
 
 
-def _searcher(largest: float, k: int, s: Settings):
+def _searcher(k: int, s: Settings):
     fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,7 @@ def _searcher(largest: float, k: int, s: Settings):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return fields.empty_table()
-        block, (q_ids, q) = Block(*matrix(rows), largest, s), matrix(queries)
+        block, (q_ids, q) = Block(*matrix(rows), s), matrix(queries)
         got = [(np.full(len(v), q_ids[i]), v, x) for i, v, x in block.search(q_ids, q, k)]
         return pa.table([np.concatenate(c) for c in zip(*got, strict=True)], schema=fields)
 
@@ -137,14 +138,20 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which is_query (on vec_id) holds, the k other rows of the largest inner product."""
-    v = usable(vectors)
-    n, largest, q = v.agg(F.count("*"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e))), F.count_if(is_query)).first()
-    blocks, groups = max(1, math.ceil(n / settings.block)), max(1, math.ceil(q / settings.queries))
-    own = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = v.select("vec_id", "x", F.size("x").alias("dim"), own(blocks, 1).alias("block")).withColumn("part", every(groups))
-    ask = v.where(is_query).select("vec_id", "x", F.size("x").alias("dim"), own(groups, 2).alias("part")).withColumn("block", every(blocks))
-    key = ["dim", "block", "part"]
-    found = rows.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(_searcher(float(largest or 0), k, settings), OUT)
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e))
+    v = usable(vectors).withColumn("dim", F.size("x")).withColumn("scale", F.round(F.log(norm) / math.log(1.2)).cast("int"))
+    kinds = v.groupBy("dim", "scale").agg(F.count("*").alias("n")).orderBy("dim", "scale").collect()  # a few for each power of ten
+    groups = max(1, math.ceil(v.where(is_query).count() / settings.queries))
+    blocks = [(r["dim"], r["scale"], math.ceil(r["n"] / settings.block)) for r in kinds]
+    if not blocks:
+        return v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    own = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), count).cast("int")
+    count = F.create_map(*[x for d, z, c in blocks for x in (F.struct(F.lit(d).alias("dim"), F.lit(z).alias("scale")), F.lit(c))])
+    rows = v.withColumn("block", own(count[F.struct("dim", "scale")], 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    every = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(z).alias("scale"), F.lit(k).alias("block")) for d, z, c in blocks for k in range(c)])
+    ask = v.where(is_query).select("vec_id", "x", "dim", own(F.lit(groups), 2).alias("part"))
+    ask = ask.withColumn("to", F.explode(F.filter(every, lambda e: e["dim"] == F.col("dim")))).select("vec_id", "x", "part", "to.*")
+    key = ["dim", "scale", "block", "part"]
+    found = rows.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(_searcher(k, settings), OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
