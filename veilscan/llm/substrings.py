@@ -35,7 +35,7 @@ from .common import stored
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-CHUNK, RANGE, PART = 8_000_000, 10_000_000, 1_000_000
+CHUNK, RANGE, PART = 4_000_000, 10_000_000, 1_000_000
 LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
