@@ -34,7 +34,7 @@ def test_readers():
     assert fl.read_csv("имя,n\nАнна, 1\n,\nБоб,2,9\n".encode()) == "ROW[1] | имя: Анна | n: 1\nROW[3] | имя: Боб | n: 2"
     assert fl.read_json(b'{"a":{"b":[1,null,"x"]},"c":true,"d":1.0}') == "a.b[0]: 1\na.b[2]: x\nc: True\nd: 1.0"
     assert fl.read_text("привет".encode("cp1251")) == "привет" and fl.read_text("a\r\nб\r".encode()) == "a\nб\n"
-    assert fl.read_rtf(rb"{\rtf1\ansi\b0 Name\par {x}}") == "Name x"
+    assert fl.read_rtf(rb"{\rtf1\ansi\b0 Name \par {x}}") == "Name x"
     assert fl.read_html(b"<title>T</title><script>x</script><p>a &amp; b<!-- c --><footer>f</footer>") == "T\na & b"
     assert fl.read_docx(_docx()) == "Первый\n\na | b"
     assert fl.read_xlsx(_xlsx()) == "SHEET[S1] ROW[1] | имя: Анна | col_1: 7"

@@ -145,16 +145,20 @@ def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
     return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
 
 
+def _is(node: ElementTree.Element, tag: str) -> bool:
+    return node.tag.rpartition("}")[2] == tag
+
+
 def _all(node: ElementTree.Element, tag: str) -> list[ElementTree.Element]:
-    return [x for x in node.iter() if x.tag.rpartition("}")[2] == tag]
+    return [x for x in node.iter() if _is(x, tag)]
 
 
 def read_docx(b: bytes) -> str:
     body = _xml(zipfile.ZipFile(io.BytesIO(b)), "word/document.xml")
-    body = next(x for x in body if x.tag.endswith("}body"))
+    body = next(x for x in body if _is(x, "body"))
     said = lambda n: "".join(t.text or "" for t in _all(n, "t"))
-    parts = [said(p) for p in body if p.tag.endswith("}p")]
-    for table in (x for x in body if x.tag.endswith("}tbl")):
+    parts = [said(p) for p in body if _is(p, "p")]
+    for table in (x for x in body if _is(x, "tbl")):
         parts += [" | ".join("\n".join(said(p) for p in _all(c, "p")).strip() for c in _all(row, "tc")) for row in _all(table, "tr")]
     return "\n\n".join(p for p in parts if p.strip())
 
@@ -172,7 +176,7 @@ def read_xlsx(b: bytes) -> str:
             for k, c in enumerate(_all(row, "c")):
                 letters = re.sub(r"\d", "", c.get("r") or "")
                 at = sum((ord(x) - 64) * 26**p for p, x in enumerate(reversed(letters))) - 1 if letters else k
-                v = next((x.text for x in c if x.tag.endswith("}v")), None)
+                v = next((x.text for x in c if _is(x, "v")), None)
                 v = strings[int(v)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in _all(c, "t")) if c.get("t") == "inlineStr" else v
                 cells[at] = v
             if i == 0:
