@@ -47,3 +47,21 @@ def mask_text(text, pattern_names: list[str] = ("card", "snils", "email", "phone
     for name in pattern_names:
         text = F.regexp_replace(text, f"(?U){rules.PATTERNS[name]}", f"[{name}]")
     return text
+
+
+def page_chunks(pages, size: int = 12_000, overlap: int = 500):
+    """Chunks of paged files (path, page, text): blank pages are left out, each page is cut for itself, offsets go on across pages, the last chunk of a file is marked."""
+    from pyspark.sql.window import Window
+
+    said = pages.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text", F.concat(F.lit("[Страница "), F.col("page").cast("string"), F.lit("]\n"), F.trim("text")))
+    file = Window.partitionBy("path").orderBy("page")
+    based = said.withColumn("base", F.coalesce(F.sum(F.length("text")).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = based.select("path", "page", "base", F.posexplode(chunks(F.col("text"), size, overlap)).alias("k", "c"))
+    order = Window.partitionBy("path").orderBy("page", "k")
+    return rows.select("path", "page", (F.row_number().over(order) - 1).cast("long").alias("chunk_id"), (F.col("base") + F.col("c.start")).alias("chunk_start"), (F.col("base") + F.col("c.end")).alias("chunk_end"), F.col("c.text").alias("text"), F.lead("k").over(order).isNull().alias("is_last"))
+
+
+def upload_checks(uploads, suffixes: list[str], most_bytes: int):
+    """uploads (path, size_bytes) with problem: unsupported suffix, empty or too large, in that order; null if it is accepted."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return uploads.withColumn("problem", F.when(~ext.isin(suffixes), "unsupported").when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") > most_bytes, "too large"))

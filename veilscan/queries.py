@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import levels, rules
 from .functions import text as tx
 from .operators import detect as dt
+from .operators import ensemble as en
 from .operators import merge as mg
 from .operators import report as rp
 from .plans import scan
@@ -364,9 +365,68 @@ def _(spark, sf_dir):
     return dt.run_tagger(c, hits)
 
 
+def _capitals(text: str) -> list[tuple[int, int, str]]:
+    """A stand-in for a tagger: capitalised Cyrillic words in a row are persons, upper-case MRZ lines organizations, digits places."""
+    import re
+
+    spans = [(m.start(), m.end(), "PER") for m in re.finditer(r"[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+)+", text)]
+    return spans + [(m.start(), m.end(), "ORG") for m in re.finditer(r"RUS[A-Z]+", text)] + [(m.start(), m.end(), "LOC") for m in re.finditer(r"\d{3,}", text)]
+
+
+@query(
+    "tagger_entities",
+    CORPUS + "select doc_id, type, value, confidence, cast(a as bigint) as a from (select doc_id, 'person_name' as type, 'Иванов Иван Иванович' as value, cast(0.8 as double) as confidence, length(one) + 1 as a from corp where name union all select doc_id, 'organization', 'RUSIVANOV', cast(0.75 as double), 2 from corp where v = 10)",
+)
+def _(spark, sf_dir):
+    return en.tagger_entities(_corpus(spark, sf_dir), _capitals).select("doc_id", "type", "value", "confidence", F.col("start").cast("long").alias("a"))
+
+
+@query(
+    "ensemble_detect",
+    CORPUS + """, hits as (select doc_id from ev where strength <> 'WEAK'), rx as (select doc_id, case v when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 1 when 4 then 2 when 5 then 1 when 6 then 2 when 8 then 1 else 0 end as n from corp)
+select c.doc_id, cast(rx.n + (select count(*) from hits where hits.doc_id = c.doc_id) as bigint) as entity_count, case when v in (7, 11) then 'УЗ-2' when v in (0, 1, 2, 3, 6, 9) then 'УЗ-3' when v in (4, 5, 8, 10) then 'УЗ-4' else 'УЗ-0' end as level from corp c join rx using (doc_id)""",
+)
+def _(spark, sf_dir):
+    return en.detect_all(_corpus(spark, sf_dir), config=dt.Config(whole_text=True)).select("doc_id", "entity_count", F.col("protection_level").alias("level"))
+
+
+@query("fallback_assessment", CORPUS + "select doc_id, 40 as score, cast(case v when 2 then 2 when 4 then 2 when 6 then 2 else 1 end as bigint) as hits from corp where v in (0, 1, 2, 3, 4, 5, 6, 8)")
+def _(spark, sf_dir):
+    return en.fallback_assessment(dt.whole_text_entities(_corpus(spark, sf_dir))).select("doc_id", F.col("overall_risk_score").alias("score"), F.col("hit_count").alias("hits"))
+
+
 # ---------------------------------------------------------------- chunks to files
 
 
+@query(
+    "page_chunks",
+    """with p as (select o_custkey as path, row_number() over (partition by o_custkey order by o_orderkey) as page, repeat(o_orderpriority || ' ', cast(o_orderkey % 9 as integer)) as t from orders),
+q as (select path, page, '[Страница ' || page || ']' || chr(10) || trim(t) as text from p where trim(t) <> ''),
+b as (select *, coalesce(sum(length(text)) over (partition by path order by page rows between unbounded preceding and 1 preceding), 0) as base, cast(1 + ceil(greatest(0, length(text) - 40) / 35.0) as bigint) as n from q),
+c as (select path, page, base, text, n, unnest(range(n)) as i from b)
+select path, page, row_number() over (partition by path order by page, i) - 1 as chunk_id, cast(base + i * 35 as bigint) as chunk_start, cast(base + least(i * 35 + 40, length(text)) as bigint) as chunk_end, lead(i) over (partition by path order by page, i) is null as is_last from c""",
+)
+def _(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    o = _t(spark, sf_dir, "orders")
+    page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = o.select(F.col("o_custkey").alias("path"), page.alias("page"), F.repeat(F.concat("o_orderpriority", F.lit(" ")), (F.col("o_orderkey") % 9).cast("int")).alias("text"))
+    return scan.page_chunks(pages, 40, 5).select("path", F.col("page").cast("long").alias("page"), "chunk_id", "chunk_start", "chunk_end", "is_last")
+
+
+@query("upload_checks", "select coalesce(problem, 'accepted') as problem, cast(count(*) as bigint) as n from (select case when k % 5 = 0 then 'unsupported' when k % 7 = 0 then 'empty' when k % 7 * 1000 > 5000 then 'too large' end as problem from (select c_custkey as k from customer)) group by 1")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    up = _t(spark, sf_dir, "customer").select(F.concat(F.lit("/u/"), k, F.when(k % 5 == 0, ".exe").otherwise(".PNG")).alias("path"), (k % 7 * 1000).alias("size_bytes"))
+    return scan.upload_checks(up, [".png", ".jpg"], 5000).groupBy(F.coalesce("problem", F.lit("accepted")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("language_codes", "select c_custkey, replace(replace('rus, eng', ', ', '+'), ' ', '+') || '+' || lower(left(c_mktsegment, 3)) as codes from customer")
+def _(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", tx.language_codes(F.concat(F.lit(" rus, eng "), F.lower(F.left("c_mktsegment", F.lit(3))))).alias("codes"))
+
+
 @query("overlap_entity_dedup", "select l_orderkey as path, cast(l_linenumber % 2 as varchar) as type, 'value ' || cast(l_suppkey % 3 as varchar) as value, cast(l_partkey // 25 as bigint) as bucket from lineitem group by all")
 def _(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
