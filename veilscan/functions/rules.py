@@ -41,6 +41,8 @@ WHOLE_TEXT = [
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.85, ["email", "почта", "электронная", "адрес", "mail"]),
     ("date_of_birth", r"\b(\d{1,2})[\.\-\/](\d{1,2})[\.\-\/](\d{4})\b", 0.70, ["рождения", "родился", "дата", "birth", "born", "род"]),
 ]
+# Other names of entity types; weights of the tax number's check digits.
+TYPE_NAMES = {"PER": "person_name", "ORG": "organization", "LOC": "location", "DATE": "date", "inn_individual": "inn", "inn_legal": "inn", "phone_ru": "phone"}
 INN_10 = [2, 4, 10, 3, 5, 9, 4, 6, 8]
 INN_12 = [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
 INN_12_LAST = [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
@@ -99,8 +101,7 @@ def value_hash(x: Column) -> Column:
 
 def entity_alias(kind: Column) -> Column:
     """Tagger's and pattern's names of types to the engine's."""
-    names = {"PER": "person_name", "ORG": "organization", "LOC": "location", "DATE": "date", "inn_individual": "inn", "inn_legal": "inn", "phone_ru": "phone"}
-    return F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[kind], F.lower(kind))
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in TYPE_NAMES.items() for v in kv])[kind], F.lower(kind))
 
 
 def entity_value(x: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where a line ends; the same places as Python's splitlines().
-LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
-NBSP = " "
+LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+NBSP = "\u00a0"
+# Repairs of recognised text, in this order.
+OCR_REPAIRS = ((r"(?U)(\d)\s+(?=\d)", "$1"), (r"(?U)([А-ЯЁ])\s+(?=[А-ЯЁ])", "$1"), (r"(?<=\d)O(?=\d)", "0"), (r"(?<=\d)[Il](?=\d)", "1"), (r"(?U)\s+", " "))
 
 
 def normalize(text: Column) -> Column:
@@ -115,7 +117,7 @@ def guess_language(text: Column) -> Column:
 def clean_ocr(text: Column) -> Column:
     """Joins spaced digits and capitals, turns letters between digits to digits, collapses white space."""
     t = F.coalesce(text, F.lit(""))
-    for p, r in ((r"(?U)(\d)\s+(?=\d)", "$1"), (r"(?U)([А-ЯЁ])\s+(?=[А-ЯЁ])", "$1"), (r"(?<=\d)O(?=\d)", "0"), (r"(?<=\d)[Il](?=\d)", "1"), (r"(?U)\s+", " ")):
+    for p, r in OCR_REPAIRS:
         t = F.regexp_replace(t, p, r)
     return F.trim(t)
 

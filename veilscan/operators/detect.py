@@ -106,6 +106,7 @@ def linked_medium(ev: DataFrame) -> DataFrame:
     return ev.where("strength = 'MEDIUM'").join(s, ["doc_id", "idx"], "left_semi")
 
 
+# Reasons of an assessment.
 REASON_STRONG = "Обнаружены строго валидированные идентификаторы"
 REASON_MEDIUM = "Подтверждены минимум 2 средних сигнала в одном локальном scope"
 REASON_NONE = "Недостаточно подтверждений для precision-first классификации"
