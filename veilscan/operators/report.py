@@ -63,3 +63,14 @@ def ocr_summary(words: DataFrame, key: str, least: float = 0.0) -> DataFrame:
     """Text and mean confidence of OCR words (key, ord, word, confidence): blank words, a confidence of -1 or under `least` are left out."""
     own = words.where((F.trim("word") != "") & (F.col("confidence") != -1) & (F.col("confidence") >= least))
     return own.groupBy(key).agg(F.avg("confidence").alias("mean_confidence"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]), " ").alias("text"), F.count("*").alias("words"))
+
+
+def low_confidence(pages: DataFrame, least: float = 60.0) -> DataFrame:
+    """pages (mean_confidence, ...) with low_confidence; the text stays as it is."""
+    return pages.withColumn("low_confidence", F.coalesce(F.col("mean_confidence") < least, F.lit(True)))
+
+
+def skew_angle(angles: DataFrame, key: str) -> DataFrame:
+    """Median angle of the lines of each page whose angle lies between -45 and 45 degrees; 0 without such lines."""
+    own = F.when((F.col("angle") > -45) & (F.col("angle") < 45), F.col("angle"))
+    return angles.groupBy(key).agg(F.coalesce(F.median(own), F.lit(0.0)).alias("skew"))

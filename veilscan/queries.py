@@ -548,6 +548,17 @@ def _(spark, sf_dir):
     return rp.ocr_summary(e, "user_id", 20.0)
 
 
+@query("ocr_low_confidence", "select low, cast(count(*) as bigint) as n from (select avg(value) < 60 as low from events where value >= 20 and value <> -1 group by user_id) group by low")
+def _(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("word"), F.col("value").alias("confidence"))
+    return rp.low_confidence(rp.ocr_summary(e, "user_id", 20.0)).groupBy(F.col("low_confidence").alias("low")).agg(F.count("*").alias("n"))
+
+
+@query("skew_angle", "select user_id, coalesce(median(case when a > -45 and a < 45 then a end), 0.0) as skew from (select user_id, cast(event_id % 120 - 60 as double) as a from events) group by user_id")
+def _(spark, sf_dir):
+    return rp.skew_angle(_t(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 120 - 60).cast("double").alias("angle")), "user_id")
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -578,6 +589,14 @@ def _(spark, sf_dir):
     return c.select("doc_id", scan.mask_text(F.col("text")).alias("masked"))
 
 
+@query("file_messages", """select sha256(text) as key, '{"path":"/d/' || doc_id || '.txt","size_bytes":' || strlen(text) || ',"extension":".txt","file_hash":"' || sha256(text) || '"}' as value from documents""")
+def _(spark, sf_dir):
+    from .streaming.ingest import file_message
+
+    d = _t(spark, sf_dir, "documents")
+    return file_message(d.select(F.concat(F.lit("/d/"), "doc_id", F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(".txt").alias("extension"), F.sha2("text", 256).alias("file_hash")))
+
+
 @query("json_flatten")
 def _(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("content"))

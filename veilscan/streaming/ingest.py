@@ -34,6 +34,11 @@ def first_seen(messages: DataFrame, period: str = "7 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+def file_message(files: DataFrame) -> DataFrame:
+    """key, value for a topic of found files: hash or path, and JSON of path, size_bytes, extension, file_hash."""
+    return files.select(F.coalesce("file_hash", "path").alias("key"), F.to_json(F.struct("path", "size_bytes", "extension", "file_hash")).alias("value"))
+
+
 def result_message(results: DataFrame) -> DataFrame:
     """key, value for a results topic: hash or path, and JSON with the text cut to 10,000 characters."""
     body = F.to_json(F.struct("path", "file_hash", F.left("text", F.lit(10_000)).alias("extracted_text"), (F.length("text") > 10_000).alias("text_truncated"), "has_personal_data", "overall_risk_score", "protection_level"))
