@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
@@ -36,12 +37,22 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def trim() -> None:
+    """Gives what a task has freed back to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(fn, schema: pa.Schema):
     """A mapInArrow function: fn(batch) -> dict of columns, one batch out for one in."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             yield pa.RecordBatch.from_pydict(fn(b), schema=schema)
+        trim()
 
     return run
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trim
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -219,7 +219,10 @@ def _sender(plan: Plan, full: bool):
         c = Chunk(plan, docs, side)
         names = (c.dense() if full else c.sample())[2]
         cuts = list(_cuts(range_of(names, 64 if full else plan.bits, plan.ranges)))
-        return pa.table({"chunk": [key[0].as_py()] * len(cuts), "r": [k for k, _, _ in cuts], "data": [squeeze(names[a:b]) for _, a, b in cuts]}, schema=_SENT)
+        out = pa.table({"chunk": [key[0].as_py()] * len(cuts), "r": [k for k, _, _ in cuts], "data": [squeeze(names[a:b]) for _, a, b in cuts]}, schema=_SENT)
+        del c, names
+        trim()
+        return out
 
     return run
 
@@ -244,6 +247,8 @@ def _answer(full: bool):
             told &= spot < len(twice)
         ends = np.cumsum([len(p) for p in parts])
         data = [np.packbits(told[b - len(p) : b]).tobytes() for p, b in zip(parts, ends, strict=True)]
+        del parts, q, told
+        trim()
         return pa.table({"chunk": t.column("chunk"), "r": t.column("r"), "data": data}, schema=_SENT)
 
     return run
@@ -256,6 +261,8 @@ def _rewritten(plan: Plan, at: int, names: list[str]):
         c = Chunk(plan, docs, side)
         rest = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in docs.column("rest")]).take(pa.array(c.order))
         kept = pa.array([t.decode("utf-8", "ignore") for _, t in c.left()], pa.string())
+        del c
+        trim()
         return rest.add_column(at, "text", kept).select(names)
 
     return run
