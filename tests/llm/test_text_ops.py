@@ -219,6 +219,7 @@ PAGES = [
     ("<article><p>Read this</p><div id=comments><p>I liked this article very much, thank you for it</p></div></article>", "Read this"),
     ("<article>a<!-- x > y --><script>if (a < b) '</p>'</script><style>p{}</style>b</article><!-- open <p>c", "ab"),
     ("<div class='post-content'><p>Intro words here</p><div class='share'>Share it</div><ul><li>x</li><li>y</li></ul></div><section role=complementary>More</section>", "Intro words here x y"),
+    ("<div>Some words that stand before the story, in no element of their own.</div><article><p>Story.</p></article><div> <span class=promo>Buy it</span></div><button>Send</button>", "Story."),
     ("", ""), (None, ""), ("<p>   </p>", ""), ("plain text without any tags at all in here", "plain text without any tags at all in here"),
     ("<article><p title='a > b'>q&#233;&nbsp;&eacute;</p>\n\t<p>z</p></article>", "qé é z"),
 ]

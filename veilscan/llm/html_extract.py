@@ -34,7 +34,7 @@ BORDERS = frozenset("ul ol menu dl table select article section nav aside main b
 
 #: Elements that never hold text of the page, elements of boilerplate, and names in class, id or role that tell either.
 UNSEEN = frozenset("script style head title noscript template svg math iframe object canvas audio video select textarea xmp noembed noframes map".split())
-ASIDE = frozenset("nav aside footer form menu dialog button search".split())
+ASIDE = frozenset("nav aside footer form menu dialog button fieldset search".split())
 POOR = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation navigational topbar toolbar breadcrumb breadcrumbs pagination pager footer foot colophon comment comments commentlist discussion disqus reply replies respond notice notices cookie cookies consent gdpr alert newsletter subscribe subscription signup signin login share sharing social related recommended recommendations popular trending widget popup modal overlay dialog tags rail skip masthead disclaimer copyright legal paywall form search complementary contentinfo".split()
 )
@@ -43,7 +43,7 @@ RICH = ARTICLE | frozenset("main content body maincontent".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_NAMES = frozenset("header head hero".split())
 #: Weights of the classifier.
-IN_ARTICLE, IN_ASIDE, HIDDEN, LINKS, LONG, LINE = 3.0, -6.0, -9.0, -3.0, 2.0, -0.4
+IN_ARTICLE, OUTSIDE, IN_ASIDE, HIDDEN, LINKS, LONG, LINE = 3.0, -2.5, -6.0, -9.0, -3.0, 2.0, -0.4
 #: Smoothness: between neighbours, more under one parent, and across a border of evidence.
 NEXT, SAME_PARENT, ACROSS = 0.35, 0.5, 0.05
 
@@ -82,22 +82,22 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
     top = Element("#", None, "")
     stack, out = [top], []
     text: list[str] = []
-    owner, linked = top, 0
+    owner, linked, said = top, 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, said
         if text:
             if words := " ".join("".join(text).split()):
                 out.append((words, owner, linked))
             text.clear()
-        linked = 0
+        linked, said = 0, False
 
     def put(raw: str) -> None:
-        nonlocal owner, linked
+        nonlocal owner, linked, said
         here = stack[-1]
         if raw and not here.unseen:
-            if not text:
-                owner = here
+            if not said and not raw.isspace():
+                owner, said = here, True
             raw = unescape(raw) if "&" in raw else raw
             text.append(raw)
             if here.link:
@@ -144,12 +144,14 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
     return out
 
 
-def leaning(text: str, at: Element, linked: int) -> float:
-    """Evidence for content less evidence for boilerplate."""
+def leaning(text: str, at: Element, linked: int, has_article: bool) -> float:
+    """Evidence for content less evidence for boilerplate; where the page has an article, what is outside of it leans to boilerplate."""
     words = text.count(" ") + 1
     score = at.weight + LONG * min(words, 40) / 40 + LINKS * (linked > 0.5 * len(text))
     if words < 5 and not at.inside and at.tag not in HEADING:
         score += LINE
+    if has_article and not at.inside:
+        score += OUTSIDE
     return score
 
 
@@ -196,9 +198,10 @@ def min_cut(lean: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
 
 def main_text(html: str) -> str:
     found = blocks(html)
+    has_article = any(at.inside for _, at, _ in found)
     nodes: list[list] = []  # [leaning, box, weight of the surroundings, texts]
     for text, at, linked in found:
-        x = leaning(text, at, linked)
+        x = leaning(text, at, linked, has_article)
         if nodes and nodes[-1][1] is at.box and nodes[-1][2] == at.weight and (nodes[-1][0] > 0) == (x > 0):
             nodes[-1][0] += x
             nodes[-1][3].append(text)
