@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bytes_of, components, label_by_min, stored
+from .common import batches, bytes_of, components, label_by_min, stored, trim
 
 ONE = np.uint64(1)
 #: Ids of fingerprints that only rows without doc_id have.
@@ -119,8 +119,9 @@ class Index:
             level = {"value": both & agreed, "mask": agreed, "first": head, "count": np.diff(np.r_[head, len(b)]), "bucket": b[head]}
             self.levels.append(level)
 
-    def forest(self, item: np.ndarray, n: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links (a, b, bits) between items of the same bucket within the limit: a spanning forest of each component. item: the number (below n) of each row."""
+    def forest(self, item: np.ndarray, n: int, limit: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links (a, b, bits) between items of the same bucket within the limit: a spanning forest of each component. item: the number (below n) of each row.
+        barred: links (smaller * n + larger, ascending) that are not to be used."""
         label, found = np.arange(n), []
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top]["first"]))
@@ -152,6 +153,10 @@ class Index:
                 todo.append((at - 1, i, j))
                 continue
             a, b = item[i], item[j]
+            if barred is not None:
+                code = np.minimum(a, b) * n + np.maximum(a, b)
+                free = barred[np.minimum(np.searchsorted(barred, code), len(barred) - 1)] != code
+                a, b, bits = a[free], b[free], bits[free]
             new = self._join(label, a, b, bits)
             if len(new[0]):
                 found.append(new)
@@ -189,8 +194,8 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*took, strict=True)) if took else (np.zeros(0, np.int64),) * 3
 
 
-def _linked(long: int, limit: int):
-    """mapInArrow function over whole buckets (bucket, node, f0..): links (a, b, bits), a > b."""
+def _linked(long: int, limit: int, forests: int = 1):
+    """mapInArrow function over whole buckets (bucket, node, f0..): links (a, b, bits), a > b. forests: so many spanning forests that share no link above TIGHT."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in it if b.num_rows]
@@ -206,9 +211,20 @@ def _linked(long: int, limit: int):
         if not len(node):
             return
         names, item = np.unique(node, return_inverse=True)
-        a, b, bits = Index(bucket, f).forest(item, len(names), limit)
+        index = Index(bucket, f)
+        a, b, bits = index.forest(item, len(names), limit)
+        for _ in range(forests - 1):  # links that are verified later may fail: others that do their work
+            loose = bits > TIGHT
+            barred = np.unique(np.minimum(a, b)[loose] * len(names) + np.maximum(a, b)[loose])
+            if not len(barred):
+                break
+            more = index.forest(item, len(names), limit, barred)
+            own = more[2] > TIGHT  # the first forest joins what the others' links join
+            a, b, bits = (np.r_[x, y[own]] for x, y in zip((a, b, bits), more, strict=True))
         x, y = names[a], names[b]
         yield pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y), "bits": bits.astype(np.int32)})
+        del index, t, bucket, node, f, names, item
+        trim()
 
     return run
 
@@ -278,7 +294,7 @@ def links(nodes: DataFrame, limit: int, long: int = 1, share: int = 0) -> DataFr
         src = nodes.select("node", "f0")
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * keys // 1_000_000 + 1)
     dealt = src.mapInArrow(route, f"bucket long, node long{f}").repartition(parts, "bucket")
-    return dealt.mapInArrow(_linked(long, limit), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    return dealt.mapInArrow(_linked(long, limit, FORESTS if share else 1), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
@@ -296,12 +312,13 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 
 #: Near copies: shingles of five words, 256 bits. A Jaccard similarity of 0.8 leaves about 39 bits different, seldom over LOOSE; under TIGHT none below 0.8 has been
 #: seen, and such links need no second look. Sets of SHARE of the DECIDED most decided bits route.
-LONG, TIGHT, LOOSE, DECIDED, SHARE = 4, 22, 52, 8, 3
+LONG, TIGHT, LOOSE, DECIDED, SHARE, FORESTS = 4, 22, 52, 8, 3, 3
 
 
 def _sets(shingle: int):
+    """The shingles of each text as ascending 32-bit hashes: in a text of a thousand, a chance agreement of two changes the similarity by a thousandth, once in thousands of pairs."""
     def rows(b: pa.RecordBatch) -> dict:
-        return {"node": b.column(0), "set": [np.unique(shingle_hashes(x.lower().split(), shingle)).tobytes() for x in bytes_of(b)]}
+        return {"node": b.column(0), "set": [np.unique(shingle_hashes(x.lower().split(), shingle).astype(np.uint32)).tobytes() for x in bytes_of(b)]}
 
     return batches(rows, pa.schema([("node", pa.int64()), ("set", pa.binary())]))
 
@@ -311,7 +328,7 @@ def _alike(least: float):
         for b in it:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= least * (len(p) + len(q) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -322,22 +339,35 @@ def _alike(least: float):
 def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the shingles the row of the smallest doc_id stays.
 
-    Links are found by fingerprints and verified on the shingles where the fingerprints don't settle it. Rows of equal doc_id and text count as one;
-    rows without doc_id stay only if no named row is in their group."""
+    Links are found by fingerprints and verified on the shingles where the fingerprints don't settle it: first, in two rounds, the shortest link that leaves
+    each component, then all that still join different components. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named
+    row is in their group."""
     prints = stored(fingerprints(docs, shingle, LONG, DECIDED), "prints")
     nodes = stored(distinct_nodes(prints, LONG), "nodes")
     near = stored(links(nodes, LOOSE, LONG, SHARE), "links")
-    unsure = near.where(F.col("bits") > TIGHT)
-    ends = unsure.select(F.col("a").alias("doc_id")).union(unsure.select("b")).distinct()
-    own = docs.join(ends, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    sets = stored(own.mapInArrow(_sets(shingle), "node long, set binary"), "sets")
-    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    sure = pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
-    roots = components(near.where(F.col("bits") <= TIGHT).select("a", "b").union(sure))
+    good = near.where(F.col("bits") <= TIGHT).select("a", "b")
+    roots, left, sets = components(good), near.where(F.col("bits") > TIGHT), None
+    for last in (False, False, True):
+        ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")) for e in ("a", "b")]
+        left = left.select("a", "b", "bits").join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({f"r{e}": F.coalesce(f"r{e}", e) for e in ("a", "b")})
+        left = stored(left.where("ra <> rb"), "left")
+        if sets is None:
+            asked = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct().hint("merge")  # as long as the corpus has links: never broadcast
+            own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+            sets = stored(own.mapInArrow(_sets(shingle), "node long, set binary").groupBy("node").agg(F.min("set").alias("set")), "sets")
+        ask = left
+        if not last:
+            both = left.select(F.col("ra").alias("r"), "a", "b", "bits").union(left.select("rb", "a", "b", "bits"))
+            ask = both.groupBy("r").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e")).select("e.*").distinct()
+        ask = stored(ask.select("a", "b"), "ask")
+        pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        good = stored(good.union(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")), "good")
+        roots, left = components(good), left.select("a", "b", "bits").join(ask, ["a", "b"], "left_anti")
     f = [f"f{w}" for w in range(LONG)]
     named = nodes.join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("root"))
     gone = prints.join(named, f).where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.when(F.col("root") < NAMELESS, F.col("root")).otherwise(F.lit(NAMELESS)))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_key"] == gone["_key"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    row = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NAMELESS)).alias("_id")
+    gone = gone.select(row("doc_id"), F.col("key").alias("_key")).distinct().hint("merge")
+    # both sides dealt by (id, key) once: the texts are shuffled one time for the join and the repeated rows
+    kept = docs.select("*", row("doc_id"), F.xxhash64("text").alias("_key")).join(gone, ["_id", "_key"], "left_anti")
+    return kept.dropDuplicates(["_id", "_key"]).select(docs.columns)
