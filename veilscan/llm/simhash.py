@@ -70,7 +70,7 @@ def packed(bits: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, long: int, decided: int = 0) -> DataFrame:
-    """doc_id, key (a hash of the text), f0.. (as signed longs), and with decided the numbers 2 * bit + value of the most decided of the first 128 bits, the lowest bit first among equals."""
+    """doc_id, key (a hash of the text), f0.. (as signed longs), and with decided the numbers 2 * bit + value of the most decided of the first 64 bits, the lowest bit first among equals."""
     names = [f"f{w}" for w in range(long)]
 
     def rows(b: pa.RecordBatch) -> dict:
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int, long: int, decided: int = 0) ->
         f = packed(s > 0).view(np.int64).reshape(-1, long)
         out = {"doc_id": b.column(0), "key": b.column(2)} | {n: f[:, w] for w, n in enumerate(names)}
         if decided:
-            part = s[:, :128]
+            part = s[:, :64]
             order = np.argsort(-np.abs(part), axis=1, kind="stable")[:, :decided]
             order = np.sort(order, axis=1)
             out["top"] = list((2 * order + (np.take_along_axis(part, order, 1) > 0)).astype(np.int32))
@@ -312,7 +312,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 
 #: Near copies: shingles of five words, 256 bits. A Jaccard similarity of 0.8 leaves about 39 bits different, seldom over LOOSE; under TIGHT none below 0.8 has been
 #: seen, and such links need no second look. Sets of SHARE of the DECIDED most decided bits route.
-LONG, TIGHT, LOOSE, DECIDED, SHARE, FORESTS = 4, 22, 52, 8, 3, 3
+LONG, TIGHT, LOOSE, DECIDED, SHARE, FORESTS = 4, 22, 52, 7, 3, 3
 
 
 def _sets(shingle: int):
