@@ -5,8 +5,9 @@ by sorting its fingerprints by Gray rank and grouping neighbours: a node keeps t
 are followed from the roots down, and a pair is dropped as soon as the differences of their agreed bits exceed the limit, or when
 all below both are linked already. What leaves a bucket is a spanning forest of real links, never all pairs of a group.
 
-Routing: for a limit of d bits, `blocks` blocks of which blocks - d must be equal (every linked pair shares such a set: exact), or,
-for long fingerprints and wide limits, sets of the most decided bits (`decided`, `share`), which near copies share.
+Routing: for a limit of d bits, `blocks` blocks of which blocks - d must be equal (every linked pair shares such a set: exact).
+
+Near copies (`without_copies`) do not rest on fingerprints: they meet by the prefixes of their shingle sets, and are verified on the sets.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; a text of fewer words
 than a shingle is one shingle; equal rows share a component; a null doc_id never names a component unless it stands alone, where
@@ -69,24 +70,18 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int, long: int, decided: int = 0) -> DataFrame:
-    """doc_id, key (a hash of the text), f0.. (as signed longs), and with decided the numbers 2 * bit + value of the most decided of the first 64 bits, the lowest bit first among equals."""
+def fingerprints(docs: DataFrame, shingle: int, long: int) -> DataFrame:
+    """doc_id, key (a hash of the text), f0.. (as signed longs)."""
     names = [f"f{w}" for w in range(long)]
 
     def rows(b: pa.RecordBatch) -> dict:
         scores = [lead(shingle_hashes(x.lower().split(), shingle), long) for x in bytes_of(b)]
         s = np.array(scores).reshape(-1, 64 * long)
         f = packed(s > 0).view(np.int64).reshape(-1, long)
-        out = {"doc_id": b.column(0), "key": b.column(2)} | {n: f[:, w] for w, n in enumerate(names)}
-        if decided:
-            part = s[:, :64]
-            order = np.argsort(-np.abs(part), axis=1, kind="stable")[:, :decided]
-            order = np.sort(order, axis=1)
-            out["top"] = list((2 * order + (np.take_along_axis(part, order, 1) > 0)).astype(np.int32))
-        return out
+        return {"doc_id": b.column(0), "key": b.column(2)} | {n: f[:, w] for w, n in enumerate(names)}
 
-    fields = [("doc_id", pa.int64()), ("key", pa.int64()), *((n, pa.int64()) for n in names)] + [("top", pa.list_(pa.int32()))] * bool(decided)
-    text = "doc_id long, key long, " + ", ".join(f"{n} long" for n in names) + ", top array<int>" * bool(decided)
+    fields = [("doc_id", pa.int64()), ("key", pa.int64()), *((n, pa.int64()) for n in names)]
+    text = "doc_id long, key long, " + ", ".join(f"{n} long" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(batches(rows, pa.schema(fields)), text)
 
 
@@ -119,9 +114,8 @@ class Index:
             level = {"value": both & agreed, "mask": agreed, "first": head, "count": np.diff(np.r_[head, len(b)]), "bucket": b[head]}
             self.levels.append(level)
 
-    def forest(self, item: np.ndarray, n: int, limit: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links (a, b, bits) between items of the same bucket within the limit: a spanning forest of each component. item: the number (below n) of each row.
-        barred: links (smaller * n + larger, ascending) that are not to be used."""
+    def forest(self, item: np.ndarray, n: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links (a, b, bits) between items of the same bucket within the limit: a spanning forest of each component. item: the number (below n) of each row."""
         label, found = np.arange(n), []
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top]["first"]))
@@ -153,10 +147,6 @@ class Index:
                 todo.append((at - 1, i, j))
                 continue
             a, b = item[i], item[j]
-            if barred is not None:
-                code = np.minimum(a, b) * n + np.maximum(a, b)
-                free = barred[np.minimum(np.searchsorted(barred, code), len(barred) - 1)] != code
-                a, b, bits = a[free], b[free], bits[free]
             new = self._join(label, a, b, bits)
             if len(new[0]):
                 found.append(new)
@@ -194,8 +184,8 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*took, strict=True)) if took else (np.zeros(0, np.int64),) * 3
 
 
-def _linked(long: int, limit: int, forests: int = 1):
-    """mapInArrow function over whole buckets (bucket, node, f0..): links (a, b, bits), a > b. forests: so many spanning forests that share no link above TIGHT."""
+def _linked(long: int, limit: int):
+    """mapInArrow function over whole buckets (bucket, node, f0..): links (a, b, bits), a > b."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in it if b.num_rows]
@@ -213,14 +203,6 @@ def _linked(long: int, limit: int, forests: int = 1):
         names, item = np.unique(node, return_inverse=True)
         index = Index(bucket, f)
         a, b, bits = index.forest(item, len(names), limit)
-        for _ in range(forests - 1):  # links that are verified later may fail: others that do their work
-            loose = bits > TIGHT
-            barred = np.unique(np.minimum(a, b)[loose] * len(names) + np.maximum(a, b)[loose])
-            if not len(barred):
-                break
-            more = index.forest(item, len(names), limit, barred)
-            own = more[2] > TIGHT  # the first forest joins what the others' links join
-            a, b, bits = (np.r_[x, y[own]] for x, y in zip((a, b, bits), more, strict=True))
         x, y = names[a], names[b]
         yield pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y), "bits": bits.astype(np.int32)})
         del index, t, bucket, node, f, names, item
@@ -251,22 +233,6 @@ def _route_blocks(sets: list[int]):
     return run
 
 
-def _route_decided(share: int, long: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            top = b.column(b.schema.get_field_index("top"))
-            m = np.array(top.flatten().to_numpy(zero_copy_only=False), np.uint64).reshape(b.num_rows, -1)
-            keys = np.empty((len(m), math.comb(m.shape[1], share) if len(m) else 0), np.uint64)
-            for k, c in enumerate(itertools.combinations(range(m.shape[1]), share) if len(m) else ()):
-                key = np.zeros(len(m), np.uint64)
-                for x in c:
-                    key = key * np.uint64(256) + m[:, x]
-                keys[:, k] = _remixed(key, 7)
-            yield _dealt(b, keys, long)
-
-    return run
-
-
 def _dealt(b: pa.RecordBatch, keys: np.ndarray, long: int) -> pa.RecordBatch:
     at = np.repeat(np.arange(b.num_rows), keys.shape[1])
     cols = {n: b.column(b.schema.get_field_index(n)).to_numpy()[at] for n in ("node", *(f"f{w}" for w in range(long)))}
@@ -274,27 +240,19 @@ def _dealt(b: pa.RecordBatch, keys: np.ndarray, long: int) -> pa.RecordBatch:
 
 
 def distinct_nodes(prints: DataFrame, long: int) -> DataFrame:
-    """Each distinct fingerprint once: node (the smallest doc_id), f0.., and top if there. Counts combine before they shuffle."""
+    """Each distinct fingerprint once: node (the smallest doc_id), f0.. . Counts combine before they shuffle."""
     f = [f"f{w}" for w in range(long)]
-    own = [F.min("doc_id").alias("node")] + ([F.min_by("top", F.coalesce("doc_id", F.lit(NAMELESS))).alias("top")] if "top" in prints.columns else [])
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(*f), 3)
-    return prints.groupBy(*f).agg(*own).withColumn("node", F.coalesce("node", nameless))
+    return prints.groupBy(*f).agg(F.min("doc_id").alias("node")).withColumn("node", F.coalesce("node", nameless))
 
 
-def links(nodes: DataFrame, limit: int, long: int = 1, share: int = 0) -> DataFrame:
-    """(a, b, bits): a spanning forest of the links within the limit. nodes: stored distinct_nodes(). share: route by so many shared decided bits."""
+def links(nodes: DataFrame, limit: int) -> DataFrame:
+    """(a, b, bits): a spanning forest of the links within the limit. nodes: stored distinct_nodes()."""
     n = nodes.count()
-    f = "".join(f", f{w} long" for w in range(long))
-    if share:
-        keys, route = math.comb(DECIDED, share), _route_decided(share, long)
-        src = nodes.select("node", *(f"f{w}" for w in range(long)), "top")
-    else:
-        sets = _block_sets(limit, n)
-        keys, route = len(sets), _route_blocks(sets)
-        src = nodes.select("node", "f0")
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * keys // 1_000_000 + 1)
-    dealt = src.mapInArrow(route, f"bucket long, node long{f}").repartition(parts, "bucket")
-    return dealt.mapInArrow(_linked(long, limit, FORESTS if share else 1), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    sets = _block_sets(limit, n)
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(sets) // 1_000_000 + 1)
+    dealt = nodes.select("node", "f0").mapInArrow(_route_blocks(sets), "bucket long, node long, f0 long").repartition(parts, "bucket")
+    return dealt.mapInArrow(_linked(1, limit), "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
@@ -310,63 +268,201 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 
 # ---------------------------------------------------------------- near copies
 
-#: Near copies: shingles of five words, 256 bits. A Jaccard similarity of 0.8 leaves about 39 bits different, seldom over LOOSE; under TIGHT none below 0.8 has been
-#: seen, and such links need no second look. Sets of SHARE of the DECIDED most decided bits route.
-LONG, TIGHT, LOOSE, DECIDED, SHARE, FORESTS = 4, 22, 52, 7, 3, 3
+#: Of so many documents one tells which shingles are common, those that at least COMMON of these have, at most MOST_COMMON. This only settles the order in which
+#: prefixes take shingles: any order is exact, common ones last keeps the lists short. STARS: rounds that ask one pair for two components of a list.
+ONE_OF, COMMON, MOST_COMMON, STARS = 8, 3, 300_000, 3
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingles of a text as ascending 64-bit hashes."""
+    return np.unique(shingle_hashes(text.lower().split(), k))
+
+
+def _node(s: np.ndarray) -> int:
+    """The name of a set, as a signed long: texts of equal sets share it."""
+    return xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63)
+
+
+def prefix_size(n: int, least: float) -> int:
+    """Of two sets with a Jaccard similarity of `least`, both have so many first shingles (in one order for all) that one of these is common to both."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def _common(shingle: int):
+    """The distinct shingles of each text, a row for each."""
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for x in bytes_of(b):
+                yield pa.RecordBatch.from_pydict({"shingle": shingle_set(x, shingle).view(np.int64)})
+        trim()
+
+    return rows
+
+
+def _prefixes(shingle: int, least: float, common: np.ndarray, rank: np.ndarray):
+    """doc_id, key, node, n (shingles) and prefix (those that lists are made of). common: ascending; rank: their places in the order, after all others."""
+    def rows(b: pa.RecordBatch) -> dict:
+        out = {"doc_id": b.column(0), "key": b.column(2), "node": [], "n": [], "prefix": []}
+        for x in bytes_of(b):
+            s = shingle_set(x, shingle)
+            p = prefix_size(len(s), least)
+            at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+            late = common[at] == s if len(common) else np.zeros(len(s), bool)
+            first = s[~late][:p]
+            if len(first) < p:
+                first = np.r_[first, s[late][np.argsort(rank[at[late]], kind="stable")][: p - len(first)]]
+            out["node"].append(_node(s))
+            out["n"].append(len(s))
+            out["prefix"].append(first.tobytes())
+        return out
+
+    return batches(rows, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())]))
 
 
 def _sets(shingle: int):
-    """The shingles of each text as ascending 32-bit hashes: in a text of a thousand, a chance agreement of two changes the similarity by a thousandth, once in thousands of pairs."""
     def rows(b: pa.RecordBatch) -> dict:
-        return {"node": b.column(0), "set": [np.unique(shingle_hashes(x.lower().split(), shingle).astype(np.uint32)).tobytes() for x in bytes_of(b)]}
+        got = [shingle_set(x, shingle) for x in bytes_of(b)]
+        return {"node": [_node(s) for s in got], "set": [s.tobytes() for s in got]}
 
     return batches(rows, pa.schema([("node", pa.int64()), ("set", pa.binary())]))
 
 
+def _postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix."""
+    for b in it:
+        got = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+        size = np.array([len(x) for x in got], np.int64)
+        yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(got) if got else np.zeros(0, np.int64), "node": np.repeat(b.column(0).to_numpy(), size), "n": np.repeat(b.column(1).to_numpy(), size)})
+
+
+def _lists(least: float):
+    """mapInArrow function over whole shingles: the lists of nodes that share one, parted where sizes alone keep the similarity below the limit. Equal lists are one."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in it if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        shingle, node, n = (t.column(c).to_numpy() for c in ("shingle", "node", "n"))
+        order = np.lexsort([node, n, shingle])
+        shingle, node, n = shingle[order], node[order], n[order]
+        head = np.nonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (n[:-1] < least * n[1:] - 1e-9)])[0]
+        size = np.diff(np.r_[head, len(node)])
+        name = np.add.reduceat(_remixed(node.view(np.uint64), 11), head) ^ _remixed(size.astype(np.uint64), 13)
+        keep = np.zeros(len(head), bool)
+        keep[np.unique(name, return_index=True)[1]] = True
+        rows = np.repeat(keep & (size > 1), size)
+        yield pa.RecordBatch.from_pydict({"list": np.repeat(name, size)[rows].view(np.int64), "node": node[rows], "n": n[rows]})
+        del t, shingle, node, n, order
+        trim()
+
+    return run
+
+
+def _asked(least: float, star: int):
+    """mapInArrow function over whole lists (list, node, n, root): pairs (a, b), a > b, of different roots. star: the number of a round that asks one pair
+    for a hub and each other root of a list, 0: all pairs."""
+
+    def told(c: list[np.ndarray], d: list[np.ndarray], node: np.ndarray) -> pa.RecordBatch:
+        c, d = node[np.concatenate(c)], node[np.concatenate(d)]
+        x, y = np.maximum(c, d), np.minimum(c, d)
+        order = np.lexsort([y, x])
+        x, y = x[order], y[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
+        return pa.RecordBatch.from_pydict({"a": x[new], "b": y[new]})
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in it if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        cols = [t.column(c).to_numpy() for c in ("list", "node", "n", "root")]
+        chance = _remixed(cols[1].view(np.uint64), 100 + star)
+        order = np.lexsort([chance, cols[3], _remixed(cols[3].view(np.uint64), 200 + star), cols[0]] if star else [chance, cols[2], cols[0]])
+        part, node, n, root = (x[order] for x in cols)
+        once = np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])]  # several partitions may have had the list
+        part, node, n, root = (x[once] for x in (part, node, n, root))
+        head = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0]
+        size = np.diff(np.r_[head, len(part)])
+        near = lambda c, d: np.minimum(n[c], n[d]) >= least * np.maximum(n[c], n[d]) - 1e-9
+        if star:
+            d = np.nonzero(np.r_[True, (part[1:] != part[:-1]) | (root[1:] != root[:-1])])[0]
+            c = np.repeat(head, size)[d]
+            ok = (c != d) & near(c, d)
+            yield told([c[ok]], [d[ok]], node)
+        else:
+            at, end, c, d = np.arange(len(part)), np.repeat(head + size, size), [], []
+            for k in range(1, int(size.max())):
+                at = at[at + k < end[at]]
+                at = at[near(at, at + k)]  # sizes ascend: what is too far is too far from all that follow
+                if not len(at):
+                    break
+                own = at[root[at] != root[at + k]]
+                c, d = [*c, own], [*d, own + k]
+                if sum(map(len, c)) > 2_000_000:
+                    yield told(c, d, node)
+                    c, d = [], []
+            if c:
+                yield told(c, d, node)
+        trim()
+
+    return run
+
+
 def _alike(least: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= least * (len(p) + len(q) - both))
+                ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the shingles the row of the smallest doc_id stays.
-
-    Links are found by fingerprints and verified on the shingles where the fingerprints don't settle it: first, in two rounds, the shortest link that leaves
-    each component, then all that still join different components. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named
-    row is in their group."""
-    prints = stored(fingerprints(docs, shingle, LONG, DECIDED), "prints")
-    nodes = stored(distinct_nodes(prints, LONG), "nodes")
-    near = stored(links(nodes, LOOSE, LONG, SHARE), "links")
-    good = near.where(F.col("bits") <= TIGHT).select("a", "b")
-    roots, left, sets = components(good), near.where(F.col("bits") > TIGHT), None
-    for last in (False, False, True):
-        ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")) for e in ("a", "b")]
-        left = left.select("a", "b", "bits").join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({f"r{e}": F.coalesce(f"r{e}", e) for e in ("a", "b")})
-        left = stored(left.where("ra <> rb"), "left")
-        if sets is None:
-            asked = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct().hint("merge")  # as long as the corpus has links: never broadcast
-            own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-            sets = stored(own.mapInArrow(_sets(shingle), "node long, set binary").groupBy("node").agg(F.min("set").alias("set")), "sets")
-        ask = left
-        if not last:
-            both = left.select(F.col("ra").alias("r"), "a", "b", "bits").union(left.select("rb", "a", "b", "bits"))
-            ask = both.groupBy("r").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e")).select("e.*").distinct()
-        ask = stored(ask.select("a", "b"), "ask")
-        pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        good = stored(good.union(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")), "good")
-        roots, left = components(good), left.select("a", "b", "bits").join(ask, ["a", "b"], "left_anti")
-    f = [f"f{w}" for w in range(LONG)]
-    named = nodes.join(roots, "node", "left").select(*f, F.coalesce("root", "node").alias("root"))
-    gone = prints.join(named, f).where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.when(F.col("root") < NAMELESS, F.col("root")).otherwise(F.lit(NAMELESS)))
+    """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the distinct shingles the row of the smallest doc_id stays.
+
+    Exact: two such sets share a shingle among the first of each (`prefix_size`), so they meet in the list of that shingle; every link is verified on the
+    whole sets. Some rounds ask one pair for two components of a list, which joins large groups; the last asks all pairs of a list that are in different
+    components still and have not failed. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named row is in their group."""
+    spark = docs.sparkSession
     row = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NAMELESS)).alias("_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    seen = own.where(F.pmod(F.xxhash64("key"), F.lit(ONE_OF)) == 0).dropDuplicates(["key"]).mapInArrow(_common(shingle), "shingle long")
+    top = seen.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    common, count = top.column("shingle").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(common)
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort([common, count])] = np.arange(len(order))
+    prefixes = _prefixes(shingle, similarity, common[order], rank[order])
+    prints = stored(own.mapInArrow(prefixes, "doc_id long, key long, node long, n int, prefix binary"), "prints")
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = prints.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    dealt = nodes.select("node", "n", "prefix").mapInArrow(_postings, "shingle long, node long, n int").repartition(max(conf, int(total) // 1_000_000 + 1), "shingle")
+    lists = stored(dealt.mapInArrow(_lists(similarity), "list long, node long, n int"), "lists")
+
+    asked = lists.select("node").distinct()
+    rows = prints.join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(row("doc_id"), F.col("key").alias("_key"))).alias("e")).select("e.*").distinct()
+    texts = docs.select("text", row("doc_id"), F.xxhash64("text").alias("_key")).join(rows.hint("merge"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    sets = stored(texts.select("text").mapInArrow(_sets(shingle), "node long, set binary"), "sets")
+
+    parts = max(conf, lists.count() // 1_000_000 + 1)
+    good = roots = failed = None
+    for star in (*range(1, STARS + 1), 0):
+        now = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ask = now.select("list", "node", "n", "root").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
+        ask = stored(ask if failed is None else ask.join(failed.hint("merge"), ["a", "b"], "left_anti"), "ask")
+        pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+        new = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "good")
+        good, failed = (new, ask) if good is None else (good.union(new), failed.union(ask))
+        roots = components(good)
+    named = prints.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
+    gone = named.join(first, "root").where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.coalesce("first", F.lit(NAMELESS)))
     gone = gone.select(row("doc_id"), F.col("key").alias("_key")).distinct().hint("merge")
     # both sides dealt by (id, key) once: the texts are shuffled one time for the join and the repeated rows
     kept = docs.select("*", row("doc_id"), F.xxhash64("text").alias("_key")).join(gone, ["_id", "_key"], "left_anti")
