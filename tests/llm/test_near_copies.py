@@ -40,3 +40,15 @@ def test_pairs_just_over_the_limit(spark):
 def left_pairs(texts):
     """As left(), of texts that resemble their neighbour alone."""
     return {2 * k + x for k in range(len(texts) // 2) for x in left(texts[2 * k : 2 * k + 2])}
+
+
+def test_repeats_within_a_text_do_not_count(spark):
+    rng, texts = random.Random(2), []
+    for _ in range(5):
+        own, line = words(rng, 1000), words(rng, 12)
+        texts += [" ".join(own + line), " ".join(own + line * 20)]
+        phrase = words(rng, 5)
+        texts += [" ".join(x for y in words(rng, 40) for x in [y, *phrase * 30]) for _ in range(2)]
+    want = left(texts)
+    assert {0, 4, 8} <= want and not {1, 5, 9} & want and {2, 3, 6, 7} <= want
+    assert kept(spark, texts) == want
