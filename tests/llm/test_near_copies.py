@@ -52,3 +52,17 @@ def test_repeats_within_a_text_do_not_count(spark):
     want = left(texts)
     assert {0, 4, 8} <= want and not {1, 5, 9} & want and {2, 3, 6, 7} <= want
     assert kept(spark, texts) == want
+
+
+def test_dense_groups_under_the_limit(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        base = words(rng, 200)
+        for _ in range(60):
+            own = base[:]
+            for at in rng.sample(range(200), rng.choice([2, 4, 6])):
+                own[at] = words(rng, 1)[0]
+            texts.append(" ".join(own))
+    want = left(texts)
+    assert len(want) > 3
+    assert kept(spark, texts) == want
