@@ -105,9 +105,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, he
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def passing(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, **how) -> DataFrame:
-    """The rows of docs whose score is high enough, with all their columns; no shuffle."""
-    model = train(docs, labels, **how)
+def passing(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, known: DataFrame | None = None, **how) -> DataFrame:
+    """The rows of docs whose score is high enough, with all their columns; no shuffle. known: the documents that the labels speak of, docs if not given."""
+    model = train(docs if known is None else known, labels, **how)
     at = docs.columns.index("text")
 
     def kept(it):
