@@ -199,10 +199,29 @@ def test_op9(spark, odd, none):
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["license_id"] == got[2]["license_id"] == "MIT" and got[3]["license_id"] is None and got[4]["notices"] == "Apache-2.0" and got[5]["n_canonical"] == 0
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(none).count() == 0
+    assert licenses.license_scan(odd, known=()).count() == len(ODD)
     plan = licenses.license_scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op9_finds_every_known_text_inside_a_document(spark):
+    """Each known text stands between other lines, its own lines broken anew; twice in one document; cut short, it is not found."""
+    known = licenses.known_texts()
+    short = len(licenses.KNOWN)
+    wrap = lambda k, t: re.sub(r"((?:\S+\s+){7})", lambda m: m[1].rstrip() + "\n", t) if k < short else re.sub(r"(?m)^", " *   ", t)
+    rows = [(k, f"Some words before.\nA line of its own\n{wrap(k, t)}\nand a line after it.") for k, (_, t) in enumerate(known)]
+    rows += [(1000 + k, "first " + " ".join(t.split()[:-2])) for k, (_, t) in enumerate(known[:6])] + [(2000, known[0][1] + "\n\n" + known[1][1] + "\n" + known[0][1])]
+    got = {r["doc_id"]: r["notices"].split(",") for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in got[k] for k, (i, _) in enumerate(known)), [i for k, (i, _) in enumerate(known) if i not in got[k]]
+    assert all(known[k][0] not in got[1000 + k] for k in range(6)) and {"MIT", "ISC"} <= set(got[2000])
+
+
+def test_op9_forms_agree(spark):
+    texts = [t for _, t in licenses.known_texts()] + ["Copyright (c) 2020 A\n(C) 1999 b\nWhilst ©\n v2 é É", ""]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").select("k", licenses.canonical(F.col("text")).alias("form")).collect()
+    assert all(r["form"] == licenses.canonical_form(texts[r["k"]]) for r in got)
+
+
 def test_op9_sql(spark, sf):
     import duckdb
 
