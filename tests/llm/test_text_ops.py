@@ -168,6 +168,15 @@ def test_op7(spark, docs, labels, odd, none):
     assert quality_rules.quality_rules(none, labels).count() == 0 and quality_rules.quality_rules(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_op7_on_held_out_labels(spark):
+    """The forest and its limit from half of the labelled rows, judged on the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(docs, labels, keep=lambda i: F.crc32(i.cast("string").cast("binary")) % 2 == 0).join(labels, "doc_id").toPandas()
+    rows = rows[rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 2 == 1) & ~rows.base_failed]
+    assert rows[rows.quality == 1].kept.mean() > 0.99 and rows[rows.quality == 0].kept.mean() < 0.05, rows.groupby("quality").kept.agg(["mean", "size"])
+    print(rows.groupby("quality").kept.agg(["mean", "size"]))
+
+
 def test_forest_isolates():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.01, (2000, len(quality_rules.FEATURES)))
@@ -192,6 +201,53 @@ def test_op4(spark, docs, labels, odd, none):
     assert quality_model.quality_scores(odd, labels.limit(0)).select("score").distinct().first()[0] == 0.5
 
 
+def test_op4_brute_force(spark):
+    """Scores made anew from the rows at hand, with zstandard alone."""
+    import zstandard
+
+    texts = [(k, ("good words of a calm text number %d " % k) * (3 + k % 5) + "x y " * 9000 * (k == 4), 1) for k in range(20)] + [(100 + k, "BUY!!! cheap $$$ now %d " % k * (2 + k % 4), 0) for k in range(20)]
+    rows = [*texts, (200, None, None), (201, "", None), (202, "some other words", None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if q is not None] * 2, "doc_id long, quality int, toxic int")
+    learn = [(i, t.encode(), q) for i, t, q in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    cut = lambda t: [t[k : k + 2048] for k in range(0, len(t), 2048)]
+    part = lambda q, third: [t for k, (_, t) in enumerate(sorted((i, t) for i, t, x in learn if x == q)) if (k % 3 == 0) == third]
+
+    def dictionary(q):
+        parts = [p for c in map(cut, part(q, False)) for p in (c if len(c) <= 16 else [c[k * (len(c) - 1) // 15] for k in range(16)])]
+        try:
+            return zstandard.train_dictionary(65536, parts, level=3).as_bytes()
+        except zstandard.ZstdError:
+            return b"".join(parts)[-65536:]
+
+    plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    dicts = [zstandard.ZstdCompressionDict(dictionary(q)) for q in (1, 0)]
+
+    def x(t):
+        good, bad = (sum(len(zstandard.ZstdCompressor(dict_data=d, **plain).compress(p)) for p in cut(t)) for d in dicts)
+        return [(bad - good) / max(len(t), 1), good / max(len(t), 1), sum(len(zstandard.ZstdCompressor(**plain).compress(p)) for p in cut(t)) / max(len(t), 1)]
+
+    m = np.array([x(t) for q in (0, 1) for t in part(q, True)])
+    y = np.array([q for q in (0, 1) for _ in part(q, True)], float)
+    z = np.c_[(m - m.mean(0)) / (m.std(0) + 1e-9), np.ones(len(m))]
+    w = np.zeros(4)
+    for _ in range(2000):  # the ridge's optimum, by small steps of another kind
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve(z.T @ z / 4 + 0.05 * np.eye(4), z.T @ (y - p) - 0.05 * w)
+    score = lambda t: 1 / (1 + math.exp(-float(np.r_[(np.array(x(t)) - m.mean(0)) / (m.std(0) + 1e-9), 1] @ w)))
+    got = {r["doc_id"]: r["score"] for r in quality_model.quality_scores(docs, labels).collect()}
+    assert all(math.isclose(got[i], score((t or "").encode()), rel_tol=1e-4, abs_tol=1e-6) for i, t, _ in rows)
+
+
+def test_labelled_rows_that_repeat(spark):
+    """A labelled id in thousands of rows is one labelled document."""
+    from veilscan.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, quality int")
+    assert sorted((r["doc_id"], r["quality"]) for r in labelled_sample(docs, labels, 10).collect()) == [(1, 1), (2, 0)]
+
+
 def test_op9(spark, odd, none):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     british = mit.replace("sublicense", "sublicence").replace("MIT License", "The MIT").replace("The MIT", "MIT Licence")
@@ -310,6 +366,15 @@ def test_op10_beats_its_base(spark):
     assert r["own"] > 0.95 * r["base"] and r["better"] > 0.8
 
 
+def test_tables_add_up_in_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEP", 3)
+    rng = np.random.default_rng(0)
+    parts = [rng.integers(0, 3, (lm_score.TABLES * 10 + 1, 2)) for _ in range(20)]
+    rows = [(k, "t", 0, lm_score._names(np.nonzero(x.any(1))[0]), lm_score._counts(x[x.any(1)])) for k, x in enumerate(parts)]
+    sent = spark.createDataFrame([(*r[:3], bytearray(r[3]), bytearray(r[4])) for r in rows], lm_score.SENT)
+    assert (lm_score._tables(sent, 20, 10, 2) == sum(parts)).all()
+
+
 def _little_gate(tokens=40, experts=5):
     rng = np.random.default_rng(0)
     return lm_score.Gate.start(rng.integers(0, 30, (tokens, experts))), rng
