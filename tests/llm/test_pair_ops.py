@@ -171,7 +171,7 @@ def test_op8(spark, n):
     if n > 20:
         rows.append(rows[20])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20, ann.Settings(block=300, queries=20)).collect()
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20, ann.Settings(block=300)).collect()
     hits = total = 0
     y = x.astype(np.float64)
     for q in range(0, n, 20):
@@ -186,6 +186,60 @@ def test_op8(spark, n):
     assert hits >= 0.9 * total
 
 
+def _units(rng, shape):
+    x = rng.standard_normal(shape)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind, touched, verified", [("even", 0.15, 0.95), ("clusters", 0.08, 0.3)])
+def test_op8_prunes(kind, touched, verified):
+    """The share of the lines' entries that fall into windows, and of the rows that are verified, on vectors without any structure and on vectors in clusters."""
+    rng = np.random.default_rng(0)
+    x = _units(rng, (16_384, 64)) if kind == "even" else _units(rng, (200, 64))[rng.integers(200, size=16_384)] + 0.05 * rng.standard_normal((16_384, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s, q = ann.Settings(), np.arange(0, 16_384, 256)
+    block = ann.Block(np.arange(len(x)), x, float(np.linalg.norm(x, axis=1).max()), s)
+    got = list(block.search(q, x[q], 20))
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(own) & set(want)) / 20 for (own, _), want in zip(got, best.tolist(), strict=True)]) > 0.93
+    assert block.touched < touched * block.entries and block.verified < verified * block.rows
+
+
+def test_op8_skips_blocks(spark):
+    """Clusters far from each other stand in cells of their own: queries go to few of them; one vector that is a third of all rows is split."""
+    rng = np.random.default_rng(1)
+    x = (_units(rng, (16, 24))[np.arange(3000) % 16] + 0.01 * rng.standard_normal((3000, 24))).round(3)
+    x[:1000] = x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = ann.Settings(block=128)
+    sent = []
+    routed = ann._routed
+
+    def counted(*args):
+        run = routed(*args)
+        sent.append(args[1])
+        return run
+
+    ann._routed = counted
+    try:
+        rows = ann.nearest(df, F.col("vec_id") % 20 == 0, 5, s)
+        got = {(r["query_id"], r["rank"]): r["score"] for r in rows.collect()}
+    finally:
+        ann._routed = routed
+    blocks = sum(int(subs.sum()) for own in sent[0].values() for _, _, subs, _, _ in own)
+    assert blocks > 20
+    plan = rows._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+    right = 0
+    for q in range(0, 3000, 20):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        right += sum(abs(got[q, k + 1] - v) < 1e-9 for k, v in enumerate(np.sort(score)[::-1][:5]))
+    assert right > 0.93 * 150 * 5
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
