@@ -406,12 +406,12 @@ def test_gate_is_a_distribution_and_causal():
     gate, rng = _little_gate()
     ids, used, _ = lm_score.windows(rng.integers(0, 39, 200), np.array([70, 0, 130]), np.zeros(200, bool), 39)
     rows = np.nonzero(used[:4].reshape(-1))[0]
-    share = gate.log_share(ids[:4], rows)
-    assert np.allclose(np.exp(share).sum(1), 1, atol=1e-5)
+    share = gate.share(ids[:4], rows)
+    assert np.allclose(share.sum(1), 1, atol=1e-5)
     later = ids[:4].copy()
     later[:, -1] = (later[:, -1] + 1) % 40  # the last input may change only the last position
     same = rows % lm_score.SCORED < lm_score.SCORED - 1
-    assert np.allclose(share[same], gate.log_share(later, rows)[same], atol=1e-5)
+    assert np.allclose(share[same], gate.share(later, rows)[same], atol=1e-5)
 
 
 def test_windows_take_each_place_once():
