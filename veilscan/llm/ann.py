@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import discard, stored
 
 
 @dataclass(frozen=True)
@@ -242,6 +242,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Setting
     size = rows.groupBy("dim", "scale", "cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("subs"))
     # at most 2 ** bits cells of a kind
     rows = stored(rows.join(F.broadcast(size), ["dim", "scale", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("subs")).cast("int")), "rows")
+    discard(v)
     home = stored(rows.groupBy(*KEY).applyInArrow(_home(kinds, k, s), HOME), "home")
 
     told = home.where("query_id is null").select("dim", "scale", "cell", "sub", F.posexplode(F.arrays_zip("low", "high"))).select("dim", "scale", "cell", "sub", "pos", "col.*")

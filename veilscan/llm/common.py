@@ -29,14 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders that stored() has made in this process.
+MADE: list[str] = []
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that stored() has made."""
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        MADE.remove(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more. Files elsewhere stay."""
+    for df in tables:
+        names = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+        delete(df.sparkSession, [at for at in MADE if at.rsplit("/", 1)[1] in names])
+
+
 def trim() -> None:
     """Gives what a task has freed back to the system, as the worker lives on."""
     pa.default_memory_pool().release_unused()
@@ -142,6 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
         nxt = stored(hooked.join(up, "root").select("node", F.col("up").alias("root")), "label")
         moved = nxt.join(label.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
+        discard(label)
         label = nxt
         if not moved:
+            discard(e)
             return label

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, labelled_sample, remainder, stored
+from .common import bytes_of, discard, labelled_sample, remainder, stored
 
 SLICE = 2048
 LEVEL = 3
@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, mod: int = 4, m
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _, _ in x], pa.int64()), "quality": pa.array([q for _, q, _ in x], pa.int32()), "x": pa.array([m for _, _, m in x], pa.list_(pa.float64()))})
 
     held = sorted((r["doc_id"], r["quality"], r["x"]) for r in own.mapInArrow(measured, "doc_id long, quality int, x array<double>").collect())
+    discard(rows)
     calibrate(model, np.array([x for _, _, x in held]), np.array([q for _, q, _ in held], float))
     return model
 

@@ -7,7 +7,8 @@ all below both are linked already. What leaves a bucket is a spanning forest of
 
 Routing: for a limit of d bits, `blocks` blocks of which blocks - d must be equal (every linked pair shares such a set: exact).
 
-Near copies (`without_copies`) do not rest on fingerprints: they meet by the prefixes of their shingle sets, and are verified on the sets.
+Near copies (`without_copies`) meet by the prefixes of their shingle sets. Each set has a fingerprint of parities, of which two differ in no more bits than
+the sets in shingles: the same index, over the fingerprints of those that meet, drops only pairs that cannot be alike. The others are verified on the sets.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; a text of fewer words
 than a shingle is one shingle; equal rows share a component; a null doc_id never names a component unless it stands alone, where
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bytes_of, components, label_by_min, stored, trim
+from .common import batches, bytes_of, components, discard, label_by_min, stored, trim
 
 ONE = np.uint64(1)
 #: Ids of fingerprints that only rows without doc_id have.
@@ -156,6 +157,35 @@ class Index:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def pairs(self, label: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of one bucket within the limit whose labels differ, some thousands at a time."""
+        top = len(self.levels) - 1
+        roots = np.arange(len(self.levels[top]["first"]))
+        todo, spread, step = [(top, roots, roots)] if top else [], self._spread(label), np.arange(FAN)
+        while todo:
+            at, u, v = todo.pop()
+            if len(u) > 4096:
+                todo += [(at, u[k : k + 4096], v[k : k + 4096]) for k in range(0, len(u), 4096)]
+                continue
+            low, high = spread[at]
+            open_ = ~((low[u] == high[u]) & (low[v] == high[v]) & (low[u] == low[v]))
+            u, v = u[open_], v[open_]
+            up, down = self.levels[at], self.levels[at - 1]
+            i = up["first"][u][:, None, None] + step[None, :, None]
+            j = up["first"][v][:, None, None] + step[None, None, :]
+            ok = (step[None, :, None] < up["count"][u][:, None, None]) & (step[None, None, :] < up["count"][v][:, None, None])
+            ok &= (i <= j) if at > 1 else (i < j)
+            i, j = np.broadcast_to(i, ok.shape)[ok], np.broadcast_to(j, ok.shape)[ok]
+            bits = np.zeros(len(i), np.int64)
+            for w in range(down["value"].shape[1]):
+                bits += np.bitwise_count((down["value"][i, w] ^ down["value"][j, w]) & down["mask"][i, w] & down["mask"][j, w])
+            near = bits <= limit
+            i, j = i[near], j[near]
+            if at > 1:
+                todo += [(at - 1, i, j)] if len(i) else []
+            elif (new := label[i] != label[j]).any():
+                yield i[new], j[new]
+
     def _spread(self, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Smallest and largest label below each node of each level."""
         out = [(own, own)]
@@ -271,6 +301,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 #: Of so many documents one tells which shingles are common, those that at least COMMON of these have, at most MOST_COMMON. This only settles the order in which
 #: prefixes take shingles: any order is exact, common ones last keeps the lists short. STARS: rounds that ask one pair for two components of a list.
 ONE_OF, COMMON, MOST_COMMON, STARS = 8, 3, 300_000, 3
+#: Words of a fingerprint of parities, words of what the index sorts, and the size of lists from which on it is built.
+PARITY, FOLDED, LARGE = 32, 4, 48
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -283,6 +315,16 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit k: whether the hashes of a set that fall on k are odd in number. A shingle that one of two sets has turns one bit, so fingerprints differ in no more bits than the sets."""
+    return np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8), bitorder="little")
+
+
+def _apart(n: np.ndarray, least: float) -> np.ndarray:
+    """In how many shingles two sets of n shingles altogether differ at most, at a Jaccard similarity of `least` or more."""
+    return np.floor(n * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+
+
 def prefix_size(n: int, least: float) -> int:
     """Of two sets with a Jaccard similarity of `least`, both have so many first shingles (in one order for all) that one of these is common to both."""
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
@@ -300,9 +342,9 @@ def _common(shingle: int):
 
 
 def _prefixes(shingle: int, least: float, common: np.ndarray, rank: np.ndarray):
-    """doc_id, key, node, n (shingles) and prefix (those that lists are made of). common: ascending; rank: their places in the order, after all others."""
+    """doc_id, key, node, n (shingles), prefix (those that lists are made of) and bits (parities). common: ascending; rank: their places in the order, after all others."""
     def rows(b: pa.RecordBatch) -> dict:
-        out = {"doc_id": b.column(0), "key": b.column(2), "node": [], "n": [], "prefix": []}
+        out = {"doc_id": b.column(0), "key": b.column(2), "node": [], "n": [], "prefix": [], "bits": []}
         for x in bytes_of(b):
             s = shingle_set(x, shingle)
             p = prefix_size(len(s), least)
@@ -314,9 +356,10 @@ def _prefixes(shingle: int, least: float, common: np.ndarray, rank: np.ndarray):
             out["node"].append(_node(s))
             out["n"].append(len(s))
             out["prefix"].append(first.tobytes())
+            out["bits"].append(parities(s).tobytes())
         return out
 
-    return batches(rows, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())]))
+    return batches(rows, pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary()), ("bits", pa.binary())]))
 
 
 def _sets(shingle: int):
@@ -359,51 +402,97 @@ def _lists(least: float):
     return run
 
 
+def _candidates(head: np.ndarray, size: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list whose labels differ, unless their sizes or fingerprints tell that they are not alike. head, size: of lists; rows ascend by n in each."""
+    near = lambda c, d: np.minimum(n[c], n[d]) >= least * np.maximum(n[c], n[d]) - 1e-9
+
+    def fine(c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = near(c, d) & (label[c] != label[d])
+        c, d = c[ok], d[ok]
+        ok = np.bitwise_count(bits[c] ^ bits[d]).sum(1, dtype=np.int64) <= _apart(n[c] + n[d], least)
+        return c[ok], d[ok]
+
+    few = size <= LARGE
+    end = np.repeat(head + size, size)
+    at = np.nonzero(np.repeat(few, size))[0]
+    for k in range(1, LARGE):
+        at = at[at + k < end[at]]
+        at = at[near(at, at + k)]  # sizes ascend: what is too far is too far from all that follow
+        for a in range(0, len(at), 65536):
+            yield fine(at[a : a + 65536], at[a : a + 65536] + k)
+    for a, m in zip(head[~few].tolist(), size[~few].tolist(), strict=True):
+        own = np.bitwise_xor.reduce(bits[a : a + m].reshape(m, PARITY // FOLDED, FOLDED), axis=1)
+        order = np.lexsort([gray_rank(own[:, w]) for w in reversed(range(FOLDED))])
+        for i, j in Index(np.zeros(m, np.int64), own[order]).pairs(label[a + order], int(_apart(2 * n[a : a + m].max(), least))):
+            yield fine(a + order[i], a + order[j])
+
+
+_LIST = pa.schema([("list", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+
+def _read_lists(it: Iterator[pa.RecordBatch], sort) -> tuple | None:
+    """Columns list, node, n, bits (rows of words) and the others of whole lists, sorted; each row once, and the heads and sizes of lists."""
+    got = [b for b in it if b.num_rows]
+    if not got:
+        return None
+    t = pa.Table.from_batches(got)
+    cols = {c: t.column(c).to_numpy() for c in t.schema.names if c != "bits"}
+    bits = np.frombuffer(b"".join(x.as_py() for x in t.column("bits")), np.uint64).reshape(-1, PARITY)
+    order = np.lexsort(sort(cols))
+    part, node = cols["list"][order], cols["node"][order]
+    order = order[np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])]]  # several partitions may have had the list
+    cols = {c: x[order] for c, x in cols.items()}
+    head = np.nonzero(np.r_[True, cols["list"][1:] != cols["list"][:-1]])[0]
+    return cols, bits[order], head, np.diff(np.r_[head, len(order)])
+
+
+def _alive(least: float):
+    """mapInArrow function over whole lists (list, node, n, bits): the rows that have a partner."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _read_lists(it, lambda x: [x["node"], x["n"], x["list"]])) is None:
+            return
+        x, bits, head, size = got
+        keep = np.zeros(len(bits), bool)
+        for c, d in _candidates(head, size, x["n"].astype(np.int64), bits, np.arange(len(bits)), least):
+            keep[c] = keep[d] = True
+        at = np.nonzero(keep)[0]
+        for k in range(0, len(at), 16384):
+            own = at[k : k + 16384]
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][own]) for c in ("list", "node", "n")] + [pa.array([r.tobytes() for r in bits[own]], pa.binary())], schema=_LIST)
+        trim()
+
+    return run
+
+
 def _asked(least: float, star: int):
-    """mapInArrow function over whole lists (list, node, n, root): pairs (a, b), a > b, of different roots. star: the number of a round that asks one pair
+    """mapInArrow function over whole lists (list, node, n, bits, root): pairs (a, b), a > b, of different roots. star: the number of a round that asks one pair
     for a hub and each other root of a list, 0: all pairs."""
 
-    def told(c: list[np.ndarray], d: list[np.ndarray], node: np.ndarray) -> pa.RecordBatch:
-        c, d = node[np.concatenate(c)], node[np.concatenate(d)]
-        x, y = np.maximum(c, d), np.minimum(c, d)
-        order = np.lexsort([y, x])
-        x, y = x[order], y[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
-        return pa.RecordBatch.from_pydict({"a": x[new], "b": y[new]})
+    def told(c: np.ndarray, d: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return np.unique(np.stack([np.maximum(node[c], node[d]), np.minimum(node[c], node[d])], 1), axis=0)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in it if b.num_rows]
-        if not got:
+        by_root = lambda x: [_remixed(x["node"].view(np.uint64), 100 + star), x["root"], _remixed(x["root"].view(np.uint64), 200 + star), x["list"]]
+        if (got := _read_lists(it, by_root if star else lambda x: [x["node"], x["n"], x["list"]])) is None:
             return
-        t = pa.Table.from_batches(got)
-        cols = [t.column(c).to_numpy() for c in ("list", "node", "n", "root")]
-        chance = _remixed(cols[1].view(np.uint64), 100 + star)
-        order = np.lexsort([chance, cols[3], _remixed(cols[3].view(np.uint64), 200 + star), cols[0]] if star else [chance, cols[2], cols[0]])
-        part, node, n, root = (x[order] for x in cols)
-        once = np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])]  # several partitions may have had the list
-        part, node, n, root = (x[once] for x in (part, node, n, root))
-        head = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0]
-        size = np.diff(np.r_[head, len(part)])
-        near = lambda c, d: np.minimum(n[c], n[d]) >= least * np.maximum(n[c], n[d]) - 1e-9
+        x, bits, head, size = got
+        n, node, root = x["n"].astype(np.int64), x["node"], x["root"]
+        found = np.zeros((0, 2), np.int64)
         if star:
-            d = np.nonzero(np.r_[True, (part[1:] != part[:-1]) | (root[1:] != root[:-1])])[0]
+            d = np.nonzero(np.r_[True, (x["list"][1:] != x["list"][:-1]) | (root[1:] != root[:-1])])[0]
             c = np.repeat(head, size)[d]
-            ok = (c != d) & near(c, d)
-            yield told([c[ok]], [d[ok]], node)
+            ok = (c != d) & (np.bitwise_count(bits[c] ^ bits[d]).sum(1, dtype=np.int64) <= _apart(n[c] + n[d], least))
+            found = told(c[ok], d[ok], node)
         else:
-            at, end, c, d = np.arange(len(part)), np.repeat(head + size, size), [], []
-            for k in range(1, int(size.max())):
-                at = at[at + k < end[at]]
-                at = at[near(at, at + k)]  # sizes ascend: what is too far is too far from all that follow
-                if not len(at):
-                    break
-                own = at[root[at] != root[at + k]]
-                c, d = [*c, own], [*d, own + k]
-                if sum(map(len, c)) > 2_000_000:
-                    yield told(c, d, node)
-                    c, d = [], []
-            if c:
-                yield told(c, d, node)
+            parts = []
+            for c, d in _candidates(head, size, n, bits, root, least):
+                parts.append(told(c, d, node))
+                if sum(map(len, parts)) > 1_000_000:
+                    parts = [np.unique(np.concatenate(parts), axis=0)]
+            if parts:
+                found = np.unique(np.concatenate(parts), axis=0)
+        yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
         trim()
 
     return run
@@ -438,28 +527,35 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     rank = np.empty(len(order), np.int64)
     rank[np.lexsort([common, count])] = np.arange(len(order))
     prefixes = _prefixes(shingle, similarity, common[order], rank[order])
-    prints = stored(own.mapInArrow(prefixes, "doc_id long, key long, node long, n int, prefix binary"), "prints")
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prints = stored(own.mapInArrow(prefixes, "doc_id long, key long, node long, n int, prefix binary, bits binary"), "prints")
+    nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = prints.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     dealt = nodes.select("node", "n", "prefix").mapInArrow(_postings, "shingle long, node long, n int").repartition(max(conf, int(total) // 1_000_000 + 1), "shingle")
-    lists = stored(dealt.mapInArrow(_lists(similarity), "list long, node long, n int"), "lists")
+    met = stored(dealt.mapInArrow(_lists(similarity), "list long, node long, n int"), "met")
+    parts = max(conf, met.count() // 1_000_000 + 1)
+    # fingerprints come to the rows of lists; rows without a partner that may be alike go, before any set is made
+    met_bits = met.join(nodes.select("node", "bits").hint("merge"), "node").select("list", "node", "n", "bits")
+    lists = stored(met_bits.repartition(parts, "list").mapInArrow(_alive(similarity), "list long, node long, n int, bits binary"), "lists")
+    discard(met)
 
     asked = lists.select("node").distinct()
     rows = prints.join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(row("doc_id"), F.col("key").alias("_key"))).alias("e")).select("e.*").distinct()
     texts = docs.select("text", row("doc_id"), F.xxhash64("text").alias("_key")).join(rows.hint("merge"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
     sets = stored(texts.select("text").mapInArrow(_sets(shingle), "node long, set binary"), "sets")
 
-    parts = max(conf, lists.count() // 1_000_000 + 1)
     good = roots = failed = None
     for star in (*range(1, STARS + 1), 0):
         now = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ask = now.select("list", "node", "n", "root").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
+        ask = now.select("list", "node", "n", "bits", "root").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
         ask = stored(ask if failed is None else ask.join(failed.hint("merge"), ["a", "b"], "left_anti"), "ask")
         pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         new = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "good")
         good, failed = (new, ask) if good is None else (good.union(new), failed.union(ask))
+        if roots is not None:
+            discard(roots)
         roots = components(good)
+    discard(lists, sets, good, failed)
     named = prints.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
     gone = named.join(first, "root").where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.coalesce("first", F.lit(NAMELESS)))
