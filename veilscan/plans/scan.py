@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import chunks, stream_chunks
 from ..operators.detect import Config, detect
-from ..operators.merge import entity_keys, finish, fold_chunks, unseen
-from ..sources.files import parse, walk
+from ..operators.merge import MESSAGES, entity_keys, finish, fold_chunks, unseen
+from ..sources.files import STREAMED, parse, walk
 
 
 def chunk_results(texts: DataFrame, size: int = 12_000, overlap: int = 500, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """Chunk rows for fold_chunks, and the entities with their places in the file. texts: path, text; column streamed (if there): cut as a text stream."""
-    cut = F.when(F.col("streamed"), stream_chunks(F.col("text"), size, overlap)).otherwise(chunks(F.col("text"), size, overlap)) if "streamed" in texts.columns else chunks(F.col("text"), size, overlap)
-    rows = texts.select("path", F.explode(cut).alias("c")).select("path", F.col("c.chunk_id").alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.start").alias("offset"))
+    """Chunk rows for fold_chunks, and the entities with their places in the file. texts: path, text; column cut (if there): "stream", as a text stream is cut; "whole", one chunk;
+    "pages", each of the column pages for itself; else in windows."""
+    text, pages = F.col("text"), None
+    cut = chunks(text, size, overlap)
+    if "cut" in texts.columns:
+        cut = F.when(F.col("cut") == "stream", stream_chunks(text, size, overlap)).when(F.col("cut") == "whole", chunks(text, 2**31 - 1, 0)).otherwise(cut)
+        if "pages" in texts.columns:
+            pages = texts.where("cut = 'pages'").select("path", F.posexplode("pages").alias("page", "text")).withColumn("page", F.col("page") + 1)
+            blank = texts.where(~(F.coalesce("cut", F.lit("")) == "pages") | ~F.exists("pages", lambda p: F.trim(p) != ""))  # pages without any text are one empty chunk
+            texts = blank.withColumn("text", F.when(F.col("cut") == "pages", "").otherwise(text))
+    rows = texts.select("path", F.explode(cut).alias("c")).select("path", F.col("c.chunk_id").cast("long").alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.start").cast("long").alias("offset"))
+    if pages is not None:
+        rows = rows.unionByName(page_chunks(pages, size, overlap).select("path", "chunk_id", "text", F.col("chunk_start").cast("long").alias("offset")))
     rows = rows.withColumn("doc_id", F.struct("path", "chunk_id", "offset"))
     found = detect(rows, config=config).select("doc_id.*", "overall_risk_score", "overall_confidence", "strongest_category", "short_reason", "entities")
     heads = rows.select("path", "chunk_id", F.length("text").cast("long").alias("text_length"), F.when(F.trim("text") != "", F.left("text", F.lit(300))).otherwise("").alias("snippet"))
@@ -27,19 +37,23 @@ def chunk_results(texts: DataFrame, size: int = 12_000, overlap: int = 500, conf
 
 
 def scan_texts(texts: DataFrame, size: int = 12_000, overlap: int = 500, config: Config = Config()) -> DataFrame:
-    """File results for texts (path, status, text)."""
+    """File results for texts (path, status, text; if there also cut and pages, see chunk_results, and warnings, errors and ms of the reading, which come through)."""
     rows, entities = chunk_results(texts.where("status = 'success'"), size, overlap, config)
-    folded = fold_chunks(rows)
-    out = texts.select("path", "status").join(folded, "path", "left")
-    filled = out.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "text_length": F.coalesce("text_length", F.lit(0)), "score": F.coalesce("score", F.lit(0)), "ms": F.coalesce("ms", F.lit(0.0)), "snippet": F.coalesce("snippet", F.lit(""))})
+    folded = fold_chunks(rows).drop("ms")
+    none = F.array().cast("array<string>")
+    said = {c: F.slice(F.coalesce(c, none), 1, most) if c in texts.columns else none for c, most in (("warnings", 3), ("errors", MESSAGES))}
+    ms = F.coalesce("ms", F.lit(0.0)) if "ms" in texts.columns else F.lit(0.0)
+    out = texts.select("path", "status", ms.alias("ms"), *(v.alias(c) for c, v in said.items())).join(folded, "path", "left")
+    filled = out.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "text_length": F.coalesce("text_length", F.lit(0)), "score": F.coalesce("score", F.lit(0)), "snippet": F.coalesce("snippet", F.lit(""))})
     return finish(filled, entity_keys(entities))
 
 
-def scan_folder(spark: SparkSession, root: str, seen: DataFrame | None = None, readers: dict[str, Callable[[bytes], str]] | None = None, **how) -> DataFrame:
+def scan_folder(spark: SparkSession, root: str, seen: DataFrame | None = None, readers: dict[str, Callable[[bytes], str | list[str]]] | None = None, **how) -> DataFrame:
     """File results for a folder. seen: file_hash of contents known before. readers: see parse()."""
     files = unseen(walk(spark, root, with_hash=True), seen)
     texts = parse(files, readers)
-    return scan_texts(texts.withColumn("streamed", F.col("extension").isin(".txt", ".log", ".tmp", ".md", ".rst")), **how)
+    cut = F.when(F.col("extension").isin(*STREAMED), "stream").when(F.col("pages").isNotNull(), "pages").otherwise("whole")
+    return scan_texts(texts.withColumn("cut", cut), **how)
 
 
 def mask_text(text, pattern_names: list[str] = ("card", "snils", "email", "phone")):

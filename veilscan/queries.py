@@ -242,23 +242,22 @@ def _(spark, sf_dir):
 
 @query(
     "linked_medium_semi",
-    CORPUS + "select doc_id + 1 as doc_id, 'email' as type, 'u***@mail.ru' as masked from corp where v = 2 union all select doc_id + 1, 'phone', '+7***' || '4567' from corp where v = 2",
+    CORPUS + """, strong as (select distinct corp.doc_id, k from ev join corp using (doc_id) where strength = 'STRONG' and v <> 10)
+  select doc_id, 'email' as type, 'u***@mail.ru' as masked from strong union all select doc_id, 'phone', '+7***' || '4567' from strong""",
 )
 def _(spark, sf_dir):
-    # documents of kind 2 with contact data in the line of the number, under the next id
-    docs = _corpus(spark, sf_dir).where("doc_id % 12 = 2").select((F.col("doc_id") + 1).alias("doc_id"), F.concat("text", F.lit(" user@mail.ru +7 912 123 45 67")).alias("text"))
+    # contact data at the end of each document's first line
+    docs = _corpus(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"^([^\n]*)", "$1 user@mail.ru +7 912 123 45 67").alias("text"))
     return dt.linked_medium(dt.evidence(dt.candidates(docs))).select("doc_id", "type", "masked")
 
 
-@query("evidence_dedup", CORPUS + "select doc_id, type, masked, cast(count(*) as bigint) as n from (select doc_id, type, masked from ev where v_(doc_id)) group by all")
+@query("evidence_dedup", CORPUS + "select doc_id, type, masked, cast(1 as bigint) as n from ev where strength <> 'WEAK'")
 def _(spark, sf_dir):
-    twice = _corpus(spark, sf_dir).where("doc_id % 12 = 11").select("doc_id", F.concat("text", F.lit(" и снова "), F.regexp_extract("text", r"(\d{16})", 1)).alias("text"))
+    # every card stands twice in its line
+    twice = _corpus(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"карта (\d{16})", "карта $1 и снова $1").alias("text"))
     return dt.confirmed(dt.evidence(dt.candidates(twice))).groupBy("doc_id", "type", "masked").agg(F.count("*").alias("n"))
 
 
-SQL["evidence_dedup"] = CORPUS + "select doc_id, type, masked, cast(1 as bigint) as n from ev where type = 'payment_card_number'"
-
-
 @query("category_histogram", CORPUS + "select type, cast(count(*) as bigint) as n from ev where strength <> 'WEAK' group by type")
 def _(spark, sf_dir):
     return _confirmed(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
@@ -583,10 +582,9 @@ def _(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", fl.render_row(F.col("c_custkey"), {"имя": F.col("c_name"), "пусто": F.lit("  "), "сегмент": F.col("c_mktsegment")}).alias("line"))
 
 
-@query("mask_text", CORPUS + "select doc_id, replace(one, shown || ' ' || case v when 0 then c2 else bad end, '[snils]') as masked from corp where v in (0, 1) and not name")
+@query("mask_text")
 def _(spark, sf_dir):
-    c = _corpus(spark, sf_dir).where("doc_id % 12 in (0, 1) and doc_id % 3 <> 0")
-    return c.select("doc_id", scan.mask_text(F.col("text")).alias("masked"))
+    return _corpus(spark, sf_dir).select("doc_id", scan.mask_text(F.col("text")).alias("masked"))
 
 
 @query("file_messages", """select sha256(text) as key, '{"path":"/d/' || doc_id || '.txt","size_bytes":' || strlen(text) || ',"extension":".txt","file_hash":"' || sha256(text) || '"}' as value from documents""")

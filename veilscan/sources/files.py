@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import html
 import io
 import json
 import os
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -16,9 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import page_texts
+
 # Suffixes that a scan takes.
-SUFFIXES = [".txt", ".log", ".tmp", ".md", ".csv", ".json", ".parquet", ".xlsx", ".xlsm", ".docx", ".doc", ".rtf", ".html", ".htm", ".pdf", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".gif", ".mp4"]
+SUFFIXES = [".txt", ".log", ".md", ".pdf", ".doc", ".docx", ".rtf", ".xlsx", ".xlsm", ".csv", ".json", ".parquet", ".html", ".htm", ".mp4", ".jpg", ".jpeg", ".png", ".tiff", ".bmp", ".gif", ".tmp"]
 LARGEST = 500_000_000
+SAMPLE = 65_536
+# Messages of files.
+NOT_FOUND, TOO_LARGE, NO_PDF_TEXT = "File not found", "File too large for current worker limits", "PDF contains no extractable text"
+MP4_MESSAGE = "MP4 parsing is conservative and disabled by default"
 
 
 def walk(spark: SparkSession, root: str, suffixes: list[str] | None = None, most_mb: float | None = None, with_hash: bool = False) -> DataFrame:
@@ -31,22 +39,24 @@ def walk(spark: SparkSession, root: str, suffixes: list[str] | None = None, most
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            size, digest = [], []
+            rows = []
             for p in b.path:
-                size.append(os.path.getsize(p))
-                h = hashlib.sha256() if with_hash else None
-                if h is not None:
+                size, digest = os.path.getsize(p), None
+                if most_mb is not None and size > most_mb * 1024 * 1024:
+                    continue  # not opened
+                if with_hash:
+                    h = hashlib.sha256()
                     with open(p, "rb") as f:
                         while block := f.read(1 << 20):
                             h.update(block)
-                digest.append(h.hexdigest() if h else None)
-            yield pd.DataFrame({"path": b.path, "size_bytes": size, "extension": [os.path.splitext(p)[1].lower() for p in b.path], "file_hash": digest})
+                    digest = h.hexdigest()
+                rows.append((p, size, os.path.splitext(p)[1].lower(), digest))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "extension", "file_hash"])
 
     schema = "path string, size_bytes long, extension string, file_hash string"
     listed = spark.createDataFrame(rows, "path string")
     own = set(suffixes or SUFFIXES)
-    kept = listed.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(sorted(own))).mapInPandas(look, schema)
-    return kept.where(F.col("size_bytes") <= most_mb * 1024 * 1024) if most_mb is not None else kept
+    return listed.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(sorted(own))).mapInPandas(look, schema)
 
 
 def binary_files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
@@ -82,16 +92,54 @@ def visible_text(page: Column) -> Column:
 # ---------------------------------------------------------------- readers of bytes
 
 
-def _decode(b: bytes) -> str:
+_LOWER = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
+
+
+def charset(b: bytes) -> str:
+    """The encoding of a text by its first SAMPLE bytes: marks, zeros of two-byte codes, well-formed UTF-8, else the code page that gives the likeliest Cyrillic text, if any does."""
+    b = b[:SAMPLE]
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if b.startswith(mark):
+            return name
+    even, odd = b[::2], b[1::2]
+    if len(b) > 3 and (b.count(0) > len(b) // 5 or b"\x04" in b and max(even.count(4), odd.count(4)) > len(b) // 4):
+        return "utf-16-le" if sum(odd.count(x) for x in (0, 4)) > sum(even.count(x) for x in (0, 4)) else "utf-16-be"
     try:
-        text = b.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = b.decode("cp1251", "replace")
+        b.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError as e:
+        if e.reason == "unexpected end of data" and e.start > len(b) - 4:  # the sample ends in a character
+            return "utf-8"
+
+    def likely(name: str) -> float:
+        text, score = b.decode(name, "replace"), 0.0
+        for x, y in zip(" " + text, text, strict=False):
+            at = _LOWER.find(y)
+            if at >= 0:
+                score += 1.5 - at / 20
+            elif "А" <= y <= "Я":
+                score += -1.0 if x.islower() else 0.3
+            elif y > "\x7f":
+                score -= 1.0
+            if x.isalpha() and y.isalpha() and (x < "\x7f") != (y < "\x7f"):  # two alphabets in a word
+                score -= 2.0
+        return score
+
+    best = max(("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"), key=likely)
+    return best if likely(best) > 0.3 * sum(x > 127 for x in b) else "cp1252"
+
+
+def _lines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def _decode(b: bytes) -> str:
+    """As UTF-8, which all readers but that of plain texts take for granted."""
+    return b.decode("utf-8", "replace")
+
+
 def read_text(b: bytes) -> str:
-    return _decode(b)
+    return _lines(b.decode(charset(b), "replace"))
 
 
 def read_doc(b: bytes) -> str:
@@ -99,14 +147,14 @@ def read_doc(b: bytes) -> str:
 
 
 def read_rtf(b: bytes) -> str:
-    t = re.sub(r"\\[a-zA-Z]+\d* ?", "", _decode(b))
+    t = re.sub(r"\\[a-zA-Z]+\d* ?", "", _lines(_decode(b)))
     return " ".join(re.sub(r"[{}]", "", t).split())
 
 
 def read_csv(b: bytes) -> str:
     import csv
 
-    rows, out = csv.DictReader(io.StringIO(_decode(b))), []
+    rows, out = csv.DictReader(io.StringIO(_decode(b), newline="")), []
     for i, row in enumerate(rows, 1):
         parts = [f"{k.strip()}: {v.strip()}" for k, v in row.items() if k is not None and isinstance(v, str) and v.strip()]
         if parts:
@@ -124,17 +172,18 @@ def read_json(b: bytes) -> str:
         elif isinstance(x, list):
             todo += [(f"{at}[{i}]", v) for i, v in reversed(list(enumerate(x)))]
         elif x is not None:
-            out.append(f"{at}: {x}" if at else str(x))
+            out.append(f"{at}: {x}")
     return "\n".join(out)
 
 
 def read_parquet(b: bytes) -> str:
     table = pd.read_parquet(io.BytesIO(b))
-    return "\n".join(" | ".join([f"ROW[{i}]", *(f"{k}: {v}" for k, v in row.items() if str(v) != "nan")]) for i, row in table.iterrows())
+    rows = ((i, [f"{k}: {v}" for k, v in row.items() if str(v) != "nan"]) for i, row in table.iterrows())
+    return "\n".join(" | ".join([f"ROW[{i}]", *parts]) for i, parts in rows if parts)
 
 
 def read_html(b: bytes) -> str:
-    t = re.sub(r"(?s)<!--.*?-->", "", _decode(b))
+    t = re.sub(r"(?s)<!--.*?-->", "", _lines(_decode(b)))
     for tag in ("script", "style", "noscript", "svg", "footer", "nav"):
         t = re.sub(rf"(?is)<{tag}\b.*?</{tag}\s*>", "", t)
     t = re.sub(r"(?s)<[^>]*>", "\n", t)
@@ -159,44 +208,113 @@ def read_docx(b: bytes) -> str:
     said = lambda n: "".join(t.text or "" for t in _all(n, "t"))
     parts = [said(p) for p in body if _is(p, "p")]
     for table in (x for x in body if _is(x, "tbl")):
-        parts += [" | ".join("\n".join(said(p) for p in _all(c, "p")).strip() for c in _all(row, "tc")) for row in _all(table, "tr")]
+        cells = ((["\n".join(said(p) for p in _all(c, "p")).strip() for c in _all(row, "tc")]) for row in _all(table, "tr"))
+        parts += [" | ".join(c for c in own if c) for own in cells]
     return "\n\n".join(p for p in parts if p.strip())
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    styles = _xml(z, "xl/styles.xml")
+    if styles is None:
+        return set()
+    own = {int(f.get("numFmtId")): re.sub(r"\"[^\"]*\"|\[[^\]]*\]|\\\\.", "", f.get("formatCode") or "") for f in _all(styles, "numFmt")}
+    fixed = {*range(14, 23), *range(45, 48)}
+    xfs = next((x for x in styles if _is(x, "cellXfs")), [])
+    return {k for k, x in enumerate(xfs) if (n := int(x.get("numFmtId") or 0)) in fixed or re.search("[dmyhs]", own.get(n, ""), re.I)}
+
+
+def _number(v: str, date: bool, base: datetime.datetime) -> str:
+    if not date:
+        return str(float(v) if re.search("[.eE]", v) else int(v))
+    n = float(v)
+    if 0 <= n < 1:
+        return str((base + datetime.timedelta(seconds=round(n * 86400))).time())
+    return str(base + datetime.timedelta(days=int(n), seconds=round(n % 1 * 86400)) + datetime.timedelta(days=base.year == 1899 and n < 60))
+
+
 def read_xlsx(b: bytes) -> str:
     z, out = zipfile.ZipFile(io.BytesIO(b)), []
-    shared = _xml(z, "xl/sharedStrings.xml")
+    shared, book = _xml(z, "xl/sharedStrings.xml"), _xml(z, "xl/workbook.xml")
     strings = ["".join(t.text or "" for t in _all(s, "t")) for s in _all(shared, "si")] if shared is not None else []
-    names = [s.get("name") for s in _all(_xml(z, "xl/workbook.xml"), "sheet")]
-    files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-    for sheet, file in zip(names, files, strict=False):
-        head: dict[int, str] = {}
-        for i, row in enumerate(_all(_xml(z, file), "row")):
-            cells = {}
-            for k, c in enumerate(_all(row, "c")):
+    dates, since = _date_styles(z), datetime.datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in _all(book, "workbookPr")) else datetime.datetime(1899, 12, 30)
+    targets = {r.get("Id"): r.get("Target") or "" for r in _all(rels, "Relationship")} if (rels := _xml(z, "xl/_rels/workbook.xml.rels")) is not None else {}
+    for number, sheet in enumerate(_all(book, "sheet"), 1):
+        at = next((v for k, v in sheet.attrib.items() if k.rpartition("}")[2] == "id"), None)
+        file = targets.get(at, f"worksheets/sheet{number}.xml")
+        page = _xml(z, file.lstrip("/") if file.startswith("/") else f"xl/{file}")
+        head: list[str] = []
+        begin = None
+        for k, row in enumerate(_all(page, "row") if page is not None else []):
+            cells: dict[int, str | None] = {}
+            for j, c in enumerate(_all(row, "c")):
                 letters = re.sub(r"\d", "", c.get("r") or "")
-                at = sum((ord(x) - 64) * 26**p for p, x in enumerate(reversed(letters))) - 1 if letters else k
-                v = next((x.text for x in c if _is(x, "v")), None)
-                v = strings[int(v)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in _all(c, "t")) if c.get("t") == "inlineStr" else v
-                cells[at] = v
-            if i == 0:
-                head = {k: v if v else f"col_{k}" for k, v in cells.items()}
-            elif parts := [f"{head.get(k, f'col_{k}')}: {v}" for k, v in sorted(cells.items()) if v is not None and v.strip()]:
-                out.append(" | ".join([f"SHEET[{sheet}] ROW[{i}]", *parts]))
+                place = sum((ord(x) - 64) * 26**p for p, x in enumerate(reversed(letters))) - 1 if letters else j
+                v, kind = next((x.text for x in c if _is(x, "v")), None), c.get("t")
+                if kind == "s" and v is not None:
+                    v = strings[int(v)]
+                elif kind == "inlineStr":
+                    v = "".join(t.text or "" for t in _all(c, "t"))
+                elif kind == "b" and v is not None:
+                    v = str(v.strip() == "1")
+                elif kind in (None, "n") and v:
+                    v = _number(v, int(c.get("s") or 0) in dates, since)
+                cells[place] = v
+            n = int(row.get("r") or k + 1)
+            if begin is None:
+                begin = n
+                head = [v.strip() if (v := cells.get(i)) is not None else f"col_{i + 1}" for i in range(max(cells, default=-1) + 1)]
+            elif parts := [f"{head[i]}: {v.strip()}" for i in range(len(head)) if (v := cells.get(i)) is not None and v.strip()]:
+                out.append(" | ".join([f"SHEET[{sheet.get('name')}] ROW[{n - begin}]", *parts]))
     return "\n".join(out)
 
 
-READERS: dict[str, Callable[[bytes], str]] = {
-    **dict.fromkeys((".txt", ".log", ".tmp", ".md", ".rst"), read_text), ".csv": read_csv, ".json": read_json, ".parquet": read_parquet, ".doc": read_doc, ".rtf": read_rtf,
-    ".html": read_html, ".htm": read_html, ".docx": read_docx, ".xlsx": read_xlsx, ".xlsm": read_xlsx, ".mp4": lambda b: "",
-}
+def read_pdf(b: bytes) -> list[str]:
+    """The texts of the pages."""
+    return page_texts(b)
 
 
-def parse(files: DataFrame, extra: dict[str, Callable[[bytes], str]] | None = None, largest: int = LARGEST) -> DataFrame:
-    """path, extension, status, text, error of files (path, size_bytes, extension, and content, or else a path that executors can open).
-
-    extra: readers by suffix - OCR for images, a PDF library - or replacements. Too large a file is a parse_error and is not opened; a reader's exception gives empty text and
-    its message; no reader, or no text, gives empty."""
+READERS: dict[str, Callable[[bytes], str | list[str]]] = {
+    **dict.fromkeys((".txt", ".log", ".tmp", ".md", ".rst"), read_text), ".csv": read_csv, ".json": read_json, ".parquet": read_parquet, ".doc": read_doc, ".rtf": read_rtf,
+    ".html": read_html, ".htm": read_html, ".docx": read_docx, ".xlsx": read_xlsx, ".xlsm": read_xlsx, ".pdf": read_pdf, ".mp4": lambda b: "",
+}
+#: Suffixes whose texts are cut as they stream in; all others are one chunk, PDF pages are cut one by one.
+STREAMED = (".txt", ".log", ".tmp", ".md", ".rst")
+# The beginnings of messages of readers that do not end the file.
+FAILED = {".csv": "CSV parse error", ".json": "JSON decode error", ".parquet": "Parquet parse error", ".xlsx": "XLSX parse error", ".xlsm": "XLSX parse error", ".docx": "DOCX parse error", ".doc": "DOC parse error", ".rtf": "RTF parse error", ".html": "HTML parse error", ".htm": "HTML parse error"}
+PARSED = "path string, extension string, status string, text string, pages array<string>, warnings array<string>, errors array<string>, ms double"
+
+
+def read_file(extension: str, size: int, content: Callable[[], bytes], readers: dict[str, Callable[[bytes], str | list[str]]], largest: int = LARGEST) -> tuple[str, str, list[str] | None, list[str], list[str]]:
+    """(status, text, pages, warnings, errors) of one file. What a reader fails on leaves a successful file without text and with a warning; a PDF that cannot be read,
+    a text that is empty, a suffix without a reader are empty; a PDF without text is a success with a warning."""
+    if size > largest:
+        return "parse_error", "", None, [], [TOO_LARGE]
+    read = readers.get(extension)
+    try:
+        raw = content()
+    except FileNotFoundError:
+        return "parse_error", "", None, [], [NOT_FOUND]
+    except OSError as e:
+        return "critical_error", "", None, [], [str(e)[:200]]
+    if read is None:
+        return "empty", "", None, [], []
+    try:
+        got = read(raw)
+    except Exception as e:  # what a broken file can raise is open
+        # JSON that is well-formed but cannot be walked, and readers that are not known here, end the file
+        ends = extension not in FAILED or extension == ".json" and not isinstance(e, json.JSONDecodeError)
+        return ("empty", "", None, [], []) if ends else ("success", "", None, [f"{FAILED[extension]}: {e}"], [])
+    if isinstance(got, list):
+        return "success", "\n\n".join(f"[Страница {k}]\n{t}" for k, t in enumerate(got, 1) if t), got, [] if any(t.strip() for t in got) else [NO_PDF_TEXT], []
+    if extension == ".mp4" and not got:
+        return "success", "", None, [MP4_MESSAGE], []
+    return ("empty" if extension in STREAMED and not got else "success"), got, None, [], []
+
+
+def parse(files: DataFrame, extra: dict[str, Callable[[bytes], str | list[str]]] | None = None, largest: int = LARGEST) -> DataFrame:
+    """path, extension, status, text, pages (of readers that give a list), warnings, errors, ms (spent on reading) of files (path, size_bytes, extension, and content, or else
+    a path that executors can open). extra: readers by suffix - OCR for images - or replacements. See read_file()."""
     readers = READERS | (extra or {})
     has = "content" in files.columns
 
@@ -204,24 +322,17 @@ def parse(files: DataFrame, extra: dict[str, Callable[[bytes], str]] | None = No
         for b in it:
             rows = []
             for f in b.itertuples():
-                try:
-                    if f.size_bytes > largest:
-                        rows.append(("parse_error", "", "the file is too large"))
-                        continue
-                    read = readers.get(f.extension)
-                    if read is None:
-                        rows.append(("empty", "", "no reader for this suffix"))
-                        continue
+
+                def content(f=f) -> bytes:
                     if has:
-                        raw = f.content
-                    else:
-                        with open(f.path, "rb") as x:
-                            raw = x.read()
-                    text = read(raw)
-                    rows.append(("success" if text.strip() else "empty", text, None))
-                except Exception as e:  # what a broken file can raise is open
-                    rows.append(("critical_error", "", f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame({"path": b.path, "extension": b.extension, "status": [r[0] for r in rows], "text": [r[1] for r in rows], "error": [r[2] for r in rows]})
+                        return f.content
+                    with open(f.path, "rb") as x:
+                        return x.read()
+
+                at = time.perf_counter()
+                rows.append((*read_file(f.extension, f.size_bytes, content, readers, largest), round((time.perf_counter() - at) * 1000, 3)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pd.DataFrame({"path": b.path, "extension": b.extension} | {c: list(v) for c, v in zip(("status", "text", "pages", "warnings", "errors", "ms"), cols, strict=True)})
 
     cols = ["path", "size_bytes", "extension"] + ["content"] * has
-    return files.select(*cols).mapInPandas(run, "path string, extension string, status string, text string, error string")
+    return files.select(*cols).mapInPandas(run, PARSED)
