@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batches, bytes_of, components, discard, label_by_min, stored, trim
 
@@ -299,8 +300,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 # ---------------------------------------------------------------- near copies
 
 #: Of so many documents one tells which shingles are common, those that at least COMMON of these have, at most MOST_COMMON. This only settles the order in which
-#: prefixes take shingles: any order is exact, common ones last keeps the lists short. STARS: rounds that ask one pair for two components of a list.
-ONE_OF, COMMON, MOST_COMMON, STARS = 8, 3, 300_000, 3
+#: prefixes take shingles: any order is exact, common ones last keeps the lists short. STARS: rounds in which every node asks for the likeliest of TRIED partners in one list;
+#: they only join large groups early, before all pairs that are left are asked.
+ONE_OF, COMMON, MOST_COMMON, STARS, TRIED = 8, 3, 300_000, 3, 64
 #: Words of a fingerprint of parities, words of what the index sorts, and the size of lists from which on it is built.
 PARITY, FOLDED, LARGE = 32, 4, 48
 
@@ -466,24 +468,40 @@ def _alive(least: float):
 
 
 def _asked(least: float, star: int):
-    """mapInArrow function over whole lists (list, node, n, bits, root): pairs (a, b), a > b, of different roots. star: the number of a round that asks one pair
-    for a hub and each other root of a list, 0: all pairs."""
+    """mapInArrow function over whole lists (list, node, n, bits, root, own): pairs (a, b), a > b, of different roots. star: the number of a round in which each row of
+    its own asks for one partner, 0: all pairs."""
 
     def told(c: np.ndarray, d: np.ndarray, node: np.ndarray) -> np.ndarray:
         return np.unique(np.stack([np.maximum(node[c], node[d]), np.minimum(node[c], node[d])], 1), axis=0)
 
+    def nearest(x: dict, bits: np.ndarray, head: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each row that asks in its list the one of the fewest differing bits among TRIED rows of other roots that may be alike."""
+        begin, room = np.repeat(head, size), np.repeat(size, size)
+        out = [np.zeros((0, 2), np.int64)]
+        at = np.nonzero(x["own"] & (room > 1))[0]
+        for k in range(0, len(at), 512):
+            d = at[k : k + 512]
+            jump = _remixed(x["node"][d].view(np.uint64), 300 + star)[:, None] + np.arange(TRIED, dtype=np.uint64)[None, :] * _remixed(room[d].astype(np.uint64), 301)[:, None]
+            # few rows: all of them in turn; many: pseudo-random ones
+            step = np.where(room[d][:, None] <= TRIED, np.arange(TRIED)[None, :], (jump % room[d][:, None].astype(np.uint64)).astype(np.int64))
+            c = begin[d][:, None] + step % room[d][:, None]
+            apart = np.bitwise_count(bits[c] ^ bits[d][:, None, :]).sum(2, dtype=np.int64)
+            small, large = np.minimum(n[c], n[d][:, None]), np.maximum(n[c], n[d][:, None])
+            ok = (x["root"][c] != x["root"][d][:, None]) & (small >= least * large - 1e-9) & (apart <= _apart(small + large, least))
+            apart = np.where(ok, apart, 1 << 30)
+            best = np.argmin(apart, 1)
+            has = ok[np.arange(len(d)), best]
+            out.append(told(c[np.arange(len(d)), best][has], d[has], x["node"]))
+        return np.unique(np.concatenate(out), axis=0)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_root = lambda x: [_remixed(x["node"].view(np.uint64), 100 + star), x["root"], _remixed(x["root"].view(np.uint64), 200 + star), x["list"]]
-        if (got := _read_lists(it, by_root if star else lambda x: [x["node"], x["n"], x["list"]])) is None:
+        if (got := _read_lists(it, lambda x: [x["node"], x["n"], x["list"]])) is None:
             return
         x, bits, head, size = got
         n, node, root = x["n"].astype(np.int64), x["node"], x["root"]
         found = np.zeros((0, 2), np.int64)
         if star:
-            d = np.nonzero(np.r_[True, (x["list"][1:] != x["list"][:-1]) | (root[1:] != root[:-1])])[0]
-            c = np.repeat(head, size)[d]
-            ok = (c != d) & (np.bitwise_count(bits[c] ^ bits[d]).sum(1, dtype=np.int64) <= _apart(n[c] + n[d], least))
-            found = told(c[ok], d[ok], node)
+            found = nearest(x, bits, head, size, n)
         else:
             parts = []
             for c, d in _candidates(head, size, n, bits, root, least):
@@ -515,8 +533,8 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the distinct shingles the row of the smallest doc_id stays.
 
     Exact: two such sets share a shingle among the first of each (`prefix_size`), so they meet in the list of that shingle; every link is verified on the
-    whole sets. Some rounds ask one pair for two components of a list, which joins large groups; the last asks all pairs of a list that are in different
-    components still and have not failed. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named row is in their group."""
+    whole sets. In some rounds every text asks for its likeliest partner of a list, which joins large groups; the last asks all pairs of a list that are in different
+    components still, may be alike by their fingerprints and have not failed. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named row is in their group."""
     spark = docs.sparkSession
     row = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NAMELESS)).alias("_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
@@ -547,7 +565,12 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     good = roots = failed = None
     for star in (*range(1, STARS + 1), 0):
         now = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ask = now.select("list", "node", "n", "bits", "root").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
+        if star:  # of the lists that a node is in, one asks for it: no more pairs than nodes
+            place = F.xxhash64("list", F.lit(star))
+            now = now.withColumn("own", place == F.min(place).over(Window.partitionBy("node")))
+        else:
+            now = now.withColumn("own", F.lit(True))
+        ask = now.select("list", "node", "n", "bits", "root", "own").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
         ask = stored(ask if failed is None else ask.join(failed.hint("merge"), ["a", "b"], "left_anti"), "ask")
         pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         new = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "good")
