@@ -156,6 +156,37 @@ def test_op5(spark, monkeypatch, chunk, least):
     assert texts.schema.names == df.schema.names and texts.count() == len(rows)
 
 
+def test_op5_many_rows_of_one_id(spark, monkeypatch):
+    """Rows without id, and of one id, for several chunks: none removes from its own kind, all from larger ids and by smaller ones; one large group of copies."""
+    monkeypatch.setattr(substrings, "CHUNK", 3000)
+    monkeypatch.setattr(substrings, "RANGE", 4000)
+    monkeypatch.setattr(substrings, "PART", 1000)
+    monkeypatch.setattr(substrings, "ANCHORS", 16)
+    rng = random.Random(5)
+    share = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(6)]
+    text = lambda: "".join(rng.choice(share) if rng.random() < 0.4 else "".join(rng.choice("xyz") for _ in range(60)) for _ in range(4))
+    rows = [(k, text()) for k in range(60)] + [(None, text()) for _ in range(60)] + [(30, text()) for _ in range(60)] + [(k, rows_text) for rows_text in [text()] for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cuts = substrings.cut(df.select(F.coalesce("doc_id", F.lit(substrings.LAST)).alias("id"), F.col("text").cast("binary").alias("text")))
+    assert cuts.alone.sum() == 2 and (cuts.chunks[cuts.alone] > 2).all() and cuts.chunks.sum() > 12
+    ids = np.array(sorted({substrings.LAST if i is None else i for i, _ in rows}))
+    rank = cuts.rank(cuts.of(ids, ids))
+    assert (np.diff(rank) >= 0).all() and len(set(rank.tolist())) > 8
+    got = substrings.remove_repeats(df, 50).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == removed(rows, 50)
+
+
+@pytest.mark.parametrize("ids", [[0], [5] * 9, list(range(-40, 40)), [-(2**62), 0, 2**62], list(range(0, 10**6, 997))])
+def test_chunks_are_in_the_order_of_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(substrings, "CHUNK", 50)
+    monkeypatch.setattr(substrings, "ANCHORS", 8)
+    df = spark.createDataFrame([(i, bytearray(b"x" * 20)) for i in ids], "id long, text binary")
+    cuts = substrings.cut(df)
+    x = np.array(sorted(ids), np.int64)
+    rank = cuts.rank(cuts.of(x, np.arange(len(x))))
+    assert (np.diff(rank) >= 0).all() and (cuts.of(x, x) < cuts.chunks.sum()).all() and (cuts.of(x, x) >= 0).all()
+
+
 def test_op5_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -13,7 +13,7 @@ scheme is followed only as far as names repeat:
 
 Names are 64-bit hashes, so no rank has to be agreed on; ranges travel as sorted differences, a few bytes each, and the answers as
 one bit each. Documents are dealt into chunks of about CHUNK bytes, ordered by doc_id, so that of two chunks the lower one holds the
-smaller ids. Texts of which a smaller id has an exact copy need no search: all of their strings are there. A group of copies of any
+smaller ids; an id of many rows, as the missing one can be, gets several chunks of one rank. The chunks of ids follow from a bounded number of ANCHORS. Texts of which a smaller id has an exact copy need no search: all of their strings are there. A group of copies of any
 size is spread over the chunks of its ids, and a range holds an even share of all names.
 
 Defined results: null text is empty; nothing of a text shorter than `least` is removed; rows of one doc_id never remove from each other; a null doc_id
@@ -31,11 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, trim
+from .common import discard, stored, trim
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 CHUNK, RANGE, PART = 4_000_000, 10_000_000, 1_000_000
+#: Quantiles of the ids that chunks are cut from. Ranges take more from so many on, up to WIDEST times as much.
+ANCHORS, MANY, WIDEST = 4096, 4096, 8
 LAST = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,7 +78,8 @@ class Plan:
         if least < PERIOD + 7:
             raise ValueError(f"at least {PERIOD + 7} bytes")
         self.least, self.width = least, least - PERIOD + 1
-        self.ranges = max(1, math.ceil(total / RANGE))
+        ranges = total / RANGE
+        self.ranges = max(1, math.ceil(ranges / min(WIDEST, max(1.0, math.sqrt(ranges / MANY)))))
         # sampled names only choose what is looked at again: a few bits more than would tell them all apart
         self.bits = min(64, max(34, math.ceil(math.log2(max(2, total * len(COVER) / PERIOD))) + 10))
 
@@ -115,6 +118,8 @@ class Chunk:
 
     def parts(self) -> Iterator[tuple[int, int]]:
         """Runs of documents of about PART bytes: what is made for each byte is made for one run at a time."""
+        if not len(self.size):
+            return  # all texts of the chunk are copies
         cut = np.nonzero(np.diff(self.start[:-1] // PART, prepend=-1))[0]
         yield from zip(cut.tolist(), [*cut[1:].tolist(), len(self.size)], strict=True)
 
@@ -227,8 +232,64 @@ def _sender(plan: Plan, full: bool):
     return run
 
 
-def _answer(full: bool):
-    """For each chunk's names of a range: whether another chunk has it (full: a lower one)."""
+class Cuts:
+    """Which chunk a row is in. Buckets of ids, each up to its anchor; a bucket has a number of chunks: parts of its ids in order, or, if it holds one id alone, of its rows."""
+
+    def __init__(self, anchors: np.ndarray, chunks: np.ndarray, alone: np.ndarray):
+        self.anchors, self.chunks, self.alone = anchors, chunks, alone
+        self.first = np.cumsum(chunks) - chunks
+        self.below = np.r_[anchors[:1] - 1 if len(anchors) and chunks[0] < 2 else [np.iinfo(np.int64).min // 4], anchors[:-1]].astype(np.int64) if len(anchors) else anchors
+
+    def of(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        b = np.minimum(np.searchsorted(self.anchors, ids, side="left"), len(self.anchors) - 1)
+        n, low = self.chunks[b], self.below[b]
+        wide = np.maximum(self.anchors[b].astype(np.float64) - low, 1)
+        part = np.clip((n * ((ids.astype(np.float64) - low - 1) / wide)).astype(np.int64), 0, n - 1)  # grows with the id
+        return (self.first[b] + np.where(self.alone[b], (keys & 0x7FFFFFFF) % n, part)).astype(np.int32)
+
+    def rank(self, chunk: np.ndarray) -> np.ndarray:
+        """Chunks of one id have one rank."""
+        b = np.searchsorted(self.first, chunk, side="right") - 1
+        return np.where(self.alone[b], self.first[b], chunk)
+
+
+def cut(rows: DataFrame) -> Cuts:
+    """Chunks for rows (id, text). Only quantiles of ids and sums of their buckets come to the driver."""
+    least, most, n, total = rows.agg(F.min("id"), F.max("id"), F.count("*"), F.sum(F.octet_length("text"))).first()
+    if not n:
+        return Cuts(np.array([LAST]), np.array([1]), np.array([False]))
+    want = min(ANCHORS, math.ceil((total or 0) / CHUNK) * 4)
+    found = rows.agg(F.percentile_approx("id", [k / want for k in range(1, want)], 10 * ANCHORS)).first()[0] if want > 1 else []
+    anchors, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    often = sorted({*anchors[times > 1].tolist(), LAST})
+    heavy = rows.where(F.col("id").isin(often)).groupBy("id").agg(F.sum(F.octet_length("text")).alias("n")).where(F.col("n") > CHUNK).select("id").collect()
+    alone = np.array(sorted(r["id"] for r in heavy), np.int64)
+    anchors = np.unique(np.r_[anchors, alone, alone - 1, LAST])
+    anchors = anchors[np.searchsorted(anchors, least) :]
+
+    def bucket(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(len(anchors), np.int64)
+        for b in it:
+            size += np.bincount(np.searchsorted(anchors, b.column(0).to_numpy(), side="left"), b.column(1).to_numpy(), len(anchors)).astype(np.int64)
+        at = np.nonzero(size)[0]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": size[at]})
+
+    size = np.zeros(len(anchors), np.int64)
+    for r in rows.select("id", F.octet_length("text").cast("long").alias("n")).mapInArrow(bucket, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        size[r["bucket"]] = r["n"]
+    own = np.isin(anchors, alone)
+    keep, chunks, run = [], [], 0
+    for k in range(len(anchors)):  # buckets that are small together are one
+        run += int(size[k])
+        if own[k] or k + 1 == len(anchors) or own[k + 1] or run + int(size[k + 1]) > CHUNK:
+            keep.append(k)
+            chunks.append(max(1, math.ceil(run / CHUNK)))
+            run = 0
+    return Cuts(anchors[keep], np.array(chunks), own[keep])
+
+
+def _answer(full: bool, cuts: Cuts):
+    """For each chunk's names of a range: whether another chunk has it (full: one of a lower rank)."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -236,9 +297,11 @@ def _answer(full: bool):
         q = np.concatenate(parts)
         if full:
             order = np.argsort(q, kind="stable")  # equal names stay in the order of their chunks
-            s = q[order]
+            s, rank = q[order], np.repeat(cuts.rank(t.column("chunk").to_numpy()), list(map(len, parts)))[order]
+            head = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))
             told = np.empty(len(q), bool)
-            told[order] = np.r_[False, s[1:] == s[:-1]]
+            told[order] = rank > rank[head]
+            del rank, head
         else:
             s = np.sort(q)
             twice = np.unique(s[1:][s[1:] == s[:-1]])
@@ -283,14 +346,14 @@ def _results(plan: Plan, texts: bool):
     return run
 
 
-def _dealer(bounds: np.ndarray):
+def _dealer(cuts: Cuts):
     """Documents of a batch by chunk: ids, keys (hash of the text), sizes and the joined texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in it:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            chunk = np.searchsorted(bounds, ids, side="left")
+            chunk = cuts.of(ids, keys)
             order = np.argsort(chunk, kind="stable")
             texts = b.column(2)
             for c, a, z in _cuts(chunk[order]):
@@ -308,10 +371,11 @@ def _dealer(bounds: np.ndarray):
     return run
 
 
-def _chunk_of(bounds: np.ndarray):
+def _chunk_of(cuts: Cuts):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.searchsorted(bounds, b.column(0).to_numpy(), side="left"), pa.int32()), "id": b.column(0), "key": b.column(1)})
+            chunk = cuts.of(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int32()), "id": b.column(0), "key": b.column(1)})
 
     return run
 
@@ -323,20 +387,20 @@ def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = False, rewrit
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(least, total)
-    n = max(1, math.ceil(total / CHUNK))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    cuts = cut(rows)
     body = F.coalesce("text", F.lit("")).cast("binary")
     rest = [F.col(c) for c in docs.columns if c != "text"] if rewrite else []
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(body).alias("_key"), body.alias("_text"), *rest)
-    dealt = keyed.mapInArrow(_dealer(bounds), "chunk int, ids array<long>, keys array<long>, sizes array<int>, blob binary" + ", rest binary" * rewrite)
+    dealt = keyed.mapInArrow(_dealer(cuts), "chunk int, ids array<long>, keys array<long>, sizes array<int>, blob binary" + ", rest binary" * rewrite)
 
     sums = rows.select("id", F.xxhash64("text").alias("key"), F.md5("text").alias("sum"))
     first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("most")).where("first < most")
+    first = stored(first, "first")  # apart from the join, so that a large group of copies can be split there
     copies = sums.join(first, "sum").where("id > first").select("id", "key")
-    copies = copies.mapInArrow(_chunk_of(bounds), "chunk int, id long, key long")
+    copies = copies.mapInArrow(_chunk_of(cuts), "chunk int, id long, key long")
     empty = {"kind": F.lit(0), "r": F.lit(0), "data": F.lit(None).cast("binary")}
     side = stored(copies.select("chunk", *(v.alias(k) for k, v in empty.items()), "id", "key"), "copies")
+    discard(first)
 
     def told(answers: DataFrame, kind: int) -> DataFrame:
         return answers.select("chunk", F.lit(kind).alias("kind"), "r", "data", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("key"))
@@ -346,7 +410,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, texts: bool = False, rewrit
 
     for kind, full in ((1, False), (2, True)):
         sent = together(side).applyInArrow(_sender(plan, full), SENT)
-        side = side.unionByName(told(sent.groupBy("r").applyInArrow(_answer(full), SENT), kind))
+        side = side.unionByName(told(sent.groupBy("r").applyInArrow(_answer(full, cuts), SENT), kind))
     if rewrite:
         return together(side).applyInArrow(_rewritten(plan, docs.columns.index("text"), docs.columns), docs.schema)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
