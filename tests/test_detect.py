@@ -93,3 +93,24 @@ def test_tagger_gate(spark):
     hits = spark.createDataFrame([(3,)], "doc_id long")
     assert {r["doc_id"]: r["run"] for r in dt.run_tagger(df, hits).collect()} == {1: False, 2: True, 3: True}
     assert all(r["run"] for r in dt.run_tagger(df, config=dt.Config(tagger_always=True)).collect())
+
+
+def test_ensemble_blank_and_warnings(spark):
+    from veilscan.operators import ensemble as en
+
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "СНИЛС: 112-233-445 95"), (4, "x" * 1_000_001), (5, "Паспорт: " + "y" * 60_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in en.detect_all(docs, config=dt.Config(whole_text=True, tagger=True), tag=lambda t: []).collect()}
+    assert all(got[k]["protection_level"] is None and got[k]["warnings"] == [] and got[k]["categories"] == {} for k in (1, 2))
+    assert got[3]["protection_level"] == "УЗ-3" and en.TOO_LONG in got[4]["warnings"] and "Text truncated to 50000 chars for NLP" in got[5]["warnings"]
+    bare = en.detect_all(docs.where("doc_id = 5"), config=dt.Config(tagger=True)).first()
+    assert bare["warnings"] == [en.NO_MODELS]
+
+
+def test_one_text(spark):
+    from veilscan.operators.ensemble import detect_personal_data
+
+    got = detect_personal_data(spark, "СНИЛС: 112-233-445 95")
+    assert got["detected"] and got["categories"] == {"snils": 1} and got["protection_level"] == "УЗ-3" and got["entities"][0]["masked"].startswith("11***") and got["protection_level_reason"]
+    rules_only = detect_personal_data(spark, "ничего", use_ensemble=False)
+    assert not rules_only["detected"] and rules_only["protection_level"] == "УЗ-0" and rules_only["entity_count"] == 0
+    assert detect_personal_data(spark, "")["protection_level"] is None

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels, rules
@@ -15,6 +16,8 @@ from . import detect as dt
 #: A tagger: text -> (start, end, type) of its spans.
 Tagger = Callable[[str], list[tuple[int, int, str]]]
 TAGGED = ["PER", "ORG", "LOC", "DATE"]
+# Warnings.
+TOO_LONG, NO_MODELS = "Text too long for regex detection", "NLP models not available (install natasha)"
 
 
 def tagger_entities(docs: DataFrame, tag: Tagger, text: str = "text", config: dt.Config = dt.Config()) -> DataFrame:
@@ -49,8 +52,8 @@ def fallback_assessment(entities: DataFrame) -> DataFrame:
 
 
 def detect_all(docs: DataFrame, text: str = "text", config: dt.Config = dt.Config(), tag: Tagger | None = None) -> DataFrame:
-    """One row for every document with text: doc_id, categories over the merged entities of all enabled detectors, protection_level, entity_count, score, confidence,
-    has_personal_data, warnings. Masks (rules) and raw values (patterns) of one finding count as two."""
+    """One row for every document: doc_id, categories over the merged entities of all enabled detectors, protection_level, entity_count, score, confidence,
+    has_personal_data, warnings. Masks (rules) and raw values (patterns) of one finding count as two. Without text a result is blank, its level null."""
     parts, warnings = [], F.array().cast("array<string>")
     hits = dt.whole_text_entities(docs, text, config) if config.whole_text else None
     if hits is not None:
@@ -66,10 +69,31 @@ def detect_all(docs: DataFrame, text: str = "text", config: dt.Config = dt.Confi
     entities = dt.merge_entities(*parts)
     n = entities.groupBy("doc_id", "type").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("categories"), F.sum("n").alias("entity_count"))
     said = (dt.assess(conf) if conf is not None else fallback_assessment(entities)).select("doc_id", "has_personal_data", "overall_risk_score", "overall_confidence")
-    out = docs.where(F.length(text) > 0).select("doc_id").join(n, "doc_id", "left").join(said, "doc_id", "left")
+    size = F.coalesce(F.length(text), F.lit(0))
+    out = docs.select("doc_id", size.alias("_size")).join(n, "doc_id", "left").join(said, "doc_id", "left")
+    blank, none = F.col("_size") == 0, F.array().cast("array<string>")
+    if hits is not None:
+        warnings = F.when(F.col("_size") > 1_000_000, F.array(F.lit(TOO_LONG))).otherwise(none)
     if gate is not None:
         out = out.join(gate, "doc_id", "left")
-        warnings = F.when(F.coalesce("run", F.lit(False)), warnings).otherwise(F.array(F.lit("nlp skipped by suspicious prefilter")))
+        ran = F.array(F.lit(NO_MODELS)) if tag is None else F.when(F.col("_size") > config.tagger_chars, F.array(F.lit(f"Text truncated to {config.tagger_chars} chars for NLP"))).otherwise(none)
+        warnings = F.concat(warnings, F.when(F.coalesce("run", F.lit(False)), ran).otherwise(F.array(F.lit("nlp skipped by suspicious prefilter"))))
+    warnings = F.when(blank, none).otherwise(warnings)
     categories = F.coalesce("categories", F.create_map().cast("map<string,bigint>"))
-    level = levels.protection_level(categories)
+    level = F.when(~blank, levels.protection_level(categories))
     return out.select("doc_id", categories.alias("categories"), level.alias("protection_level"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.coalesce("has_personal_data", F.lit(False)).alias("has_personal_data"), F.coalesce("overall_risk_score", F.lit(0)).alias("overall_risk_score"), F.coalesce("overall_confidence", F.lit("no_pd_or_weak")).alias("overall_confidence"), warnings.alias("warnings"))
+
+
+def detect_personal_data(spark: SparkSession, text: str, config: dt.Config = dt.Config(), use_ensemble: bool = True, tag: Tagger | None = None) -> dict:
+    """The finding for one text, as a dictionary with at most config.entities entities. use_ensemble: all detectors that config enables, else the rules alone."""
+    began = time.perf_counter()
+    doc = spark.createDataFrame([(0, text or "")], "doc_id long, text string")
+    said = dt.detect(doc, config=config).first().asDict(recursive=True)
+    out = {k: said[k] for k in ("has_personal_data", "overall_confidence", "overall_risk_score", "detected_categories", "strongest_category", "short_reason", "protection_level", "categories", "entities", "hit_count")}
+    out |= {"legal_buckets_present": ["ordinary"] if said["hit_count"] else [], "long_reason": said.get("long_reason") or said["short_reason"], "entity_count": said["hit_count"], "warnings": []}
+    if use_ensemble:
+        whole = detect_all(doc, config=config, tag=tag).first().asDict(recursive=True)
+        out |= {k: whole[k] for k in ("categories", "protection_level", "entity_count", "warnings")}
+    level = out["protection_level"]
+    out["protection_level_reason"] = spark.range(1).select(levels.level_reason(F.lit(level))).first()[0] if level else None
+    return out | {"detected": out["has_personal_data"], "processing_time_ms": round((time.perf_counter() - began) * 1000, 2)}
