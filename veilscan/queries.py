@@ -595,7 +595,37 @@ def _(spark, sf_dir):
     return file_message(d.select(F.concat(F.lit("/d/"), "doc_id", F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(".txt").alias("extension"), F.sha2("text", 256).alias("file_hash")))
 
 
-@query("json_flatten")
+@query(
+    "file_statuses",
+    """with k as (select s_suppkey, s_suppkey % 7 as k, s_name as n from supplier)
+  select s_suppkey, case when k in (2, 3) then 'empty' when k = 6 then 'parse_error' else 'success' end as status,
+    case k when 0 then 'a.b[1]: ' || n when 5 then 'ROW[1] | имя: ' || n else '' end as text,
+    case k when 1 then 'JSON decode error' when 4 then 'MP4 parsing is conservative and disabled by default' else '' end as warning,
+    case when k = 6 then 'File too large for current worker limits' else '' end as error from k""",
+)
+def _(spark, sf_dir):
+    # a good and a broken JSON file, a picture without a reader, an empty text, a film, a table, a file over the limit
+    k, n = (F.col("s_suppkey") % 7).cast("int") + 1, F.col("s_name")
+    pick = lambda *x: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in x]), k)
+    text = pick("", "{", "x", "", "x", "", "x")
+    text = F.when(k == 1, F.concat(F.lit('{"a": {"b": [null, "'), n, F.lit('"]}}'))).when(k == 6, F.concat(F.lit("имя,пусто\n"), n, F.lit(", \n"))).otherwise(text)
+    files = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.when(k == 7, 600_000_000).otherwise(9).cast("long").alias("size_bytes"), pick(".json", ".json", ".bmp", ".txt", ".mp4", ".csv", ".txt").alias("extension"), F.encode(text, "UTF-8").alias("content"))
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
+    return fl.parse(files).select(F.col("path").cast("long").alias("s_suppkey"), "status", "text", F.regexp_replace(first("warnings"), "^(JSON decode error): .*", "$1").alias("warning"), first("errors").alias("error"))
+
+
+@query(
+    "supported_suffixes",
+    """select '.' || s as suffix, cast(count(*) as bigint) as n from (select (['txt', 'BMP', 'bmp', 'tif', 'tiff', 'exe', 'Pdf', 'rst', 'tmp', 'gz'])[p_partkey % 10 + 1] as s from part)
+  where lower(s) in ('txt', 'bmp', 'tiff', 'pdf', 'tmp') group by s""",
+)
+def _(spark, sf_dir):
+    names = F.array(*map(F.lit, [".txt", ".BMP", ".bmp", ".tif", ".tiff", ".exe", ".Pdf", ".rst", ".tmp", ".gz"]))
+    own = _t(spark, sf_dir, "part").select(F.element_at(names, (F.col("p_partkey") % 10 + 1).cast("int")).alias("suffix"))
+    return own.where(F.lower("suffix").isin(fl.SUFFIXES)).groupBy("suffix").agg(F.count("*").alias("n"))
+
+
+@query("json_flatten", """select '/e/' || event_id || '.json' as path, 'success' as status, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, '$.' || k)), chr(10)) as text from events""")
 def _(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("content"))
     files = e.select(F.concat(F.lit("/e/"), "event_id", F.lit(".json")).alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.lit(".json").alias("extension"), "content")
