@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import itertools
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of this machine only where that is unset and all of Spark runs here, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:/tmp/checkpoints/veilscan"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(at)
