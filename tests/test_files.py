@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -159,3 +160,18 @@ def test_stream(spark, tmp_path):
     assert got.count() == 2 and got.where("has_personal_data").select("file_hash").first()[0] == "h1"
     message = ingest.result_message(got).where("key = 'h1'").first()["value"]
     assert json.loads(message)["protection_level"] == "УЗ-3"
+
+
+def test_stream_ttl(spark, tmp_path):
+    """As the batch form: sightings on days 0, 6, 8, 14, 15, 16 in three batches; of these 0, 8 and 15 pass. Without a hash all do."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    row = lambda day, hash_, path: json.dumps({"path": path, "extension": ".txt", "file_hash": hash_, "text": "x", "ts": f"2024-01-{1 + day:02d}T00:00:00"})
+    for k, days in enumerate(((0, 6), (8, 14), (15, 16))):
+        (src / f"{k}.json").write_text("\n".join([row(d, "h", f"/{d}") for d in reversed(days)] + [row(d, None, "/same") for d in days]), encoding="utf-8")
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # the order of the batches
+    stream = ingest.first_in_ttl(spark.readStream.schema(ingest.MESSAGE).option("maxFilesPerTrigger", 1).json(str(src)), delay="30 days")
+    query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    got = spark.read.parquet(str(out))
+    assert sorted(r["path"] for r in got.where("file_hash = 'h'").collect()) == ["/0", "/15", "/8"] and got.where("file_hash is null").count() == 6

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import detect
 
@@ -34,6 +38,33 @@ def first_seen(messages: DataFrame, period: str = "7 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+def first_in_ttl(messages: DataFrame, seconds: int = 7 * 86400, delay: str = "1 hour") -> DataFrame:
+    """The messages of each file_hash that come `seconds` or more after its last message that passed, by their times; repeats don't prolong. Messages without a hash all pass.
+
+    A key's state is one time, dropped as soon as the watermark has passed its end. Messages later than `delay` may be lost, as with any watermark."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "path"], kind="stable")
+        if rows["file_hash"].iloc[0] is None:
+            yield rows[names]
+            return
+        last, keep = state.get[0] if state.exists else None, []
+        for at in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
+            keep.append(last is None or at >= last + seconds * 1_000_000)
+            last = at if keep[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[keep][names]
+
+    names = messages.columns
+    keyed = messages.withWatermark("ts", delay).withColumn("_key", F.coalesce("file_hash", F.concat(F.lit("path:"), F.col("path"))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
+    return keyed.groupBy("_key").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def file_message(files: DataFrame) -> DataFrame:
     """key, value for a topic of found files: hash or path, and JSON of path, size_bytes, extension, file_hash."""
     return files.select(F.coalesce("file_hash", "path").alias("key"), F.to_json(F.struct("path", "size_bytes", "extension", "file_hash")).alias("value"))
