@@ -580,7 +580,7 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         roots = components(good)
     discard(lists, sets, good, failed)
     named = prints.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
+    first = stored(named.groupBy("root").agg(F.min("doc_id").alias("first")), "first")  # apart from the join, so that a large group can be split there
     gone = named.join(first, "root").where(F.coalesce("doc_id", F.lit(NAMELESS)) != F.coalesce("first", F.lit(NAMELESS)))
     gone = gone.select(row("doc_id"), F.col("key").alias("_key")).distinct().hint("merge")
     # both sides dealt by (id, key) once: the texts are shuffled one time for the join and the repeated rows
