@@ -258,6 +258,34 @@ def _(spark, sf_dir):
     return dt.confirmed(dt.evidence(dt.candidates(twice))).groupBy("doc_id", "type", "masked").agg(F.count("*").alias("n"))
 
 
+#: What spoils each kind of finding: its context, and its checksum, length or age.
+NO_CONTEXT = [("СНИЛС", "номер"), ("ИНН", "код"), ("карта 4", "карта 5"), (r"БИК \d{9}", "БИК"), ("дата рождения", "дата"), ("паспорт серия", "запись"), ("<", "X"), ("info@", "user@"), ("почта:", "почта"), ("клиент: ", ""), ("тел:", "тел"), ("образец: ", ""), ("Иванов Иван Иванович", "Филиал Иванов")]
+NO_CHECK = [("ИНН: 1", "ИНН: 9"), (r"(карта \d{15})\d", "$1"), (r"12\.03\.\d{4}", "12.03.2090")]
+
+
+def _spoilt(spark, sf_dir, how: list[tuple[str, str]]) -> DataFrame:
+    text = F.col("text")
+    for a, b in how:
+        text = F.regexp_replace(text, a, b)
+    return dt.exclusions(dt.candidates(_corpus(spark, sf_dir).select("doc_id", text.alias("text")))).select("doc_id", "reason", "n")
+
+
+@query(
+    "rejected_without_context",
+    CORPUS + """select doc_id, unnest(case v when 0 then ['snils_without_context'] when 1 then ['snils_checksum_fail'] when 2 then ['passport_without_context'] when 3 then ['inn_without_context']
+    when 4 then ['email_without_person_context', 'phone_without_person_context'] when 5 then ['email_without_person_context'] when 6 then ['inn_without_context', 'passport_without_context']
+    when 7 then ['account_without_bik'] when 8 then ['date_without_dob_context'] when 9 then ['passport_without_context'] when 10 then ['mrz_shape_fail'] else ['card_luhn_fail'] end) as reason, cast(1 as bigint) as n from corp
+  union all select doc_id, 'organization_like_name', 1 from corp where name""",
+)
+def _(spark, sf_dir):
+    return _spoilt(spark, sf_dir, NO_CONTEXT)
+
+
+@query("rejected_by_checks", CORPUS + "select doc_id, reason, cast(1 as bigint) as n from ex union all select doc_id, case v when 2 then 'inn_checksum_fail' when 8 then 'dob_age_implausible' else 'card_length_fail' end, 1 from corp where v in (2, 8, 11)")
+def _(spark, sf_dir):
+    return _spoilt(spark, sf_dir, NO_CHECK)
+
+
 @query("category_histogram", CORPUS + "select type, cast(count(*) as bigint) as n from ev where strength <> 'WEAK' group by type")
 def _(spark, sf_dir):
     return _confirmed(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
