@@ -107,6 +107,8 @@ def test_scan_folder(spark, tmp_path):
         "scan.pdf": ("success", 1, True), "text.pdf": ("success", 2, False), "bad.pdf": ("empty", 0, False), "x.bmp": ("empty", 0, False),
     }
     assert got["broken.docx"]["warnings"][0].startswith("DOCX parse error: ") and got["v.mp4"]["warnings"] == [fl.MP4_MESSAGE] and got["a.txt"]["ms"] > 0
+    stored = {r["path"].rsplit("/", 1)[-1]: r for r in scan_folder(spark, f"file://{tmp_path}", store=True).collect()}
+    assert set(stored) == set(got) - {"_kept.md", "none.txt"} and all(stored[n]["status"] == got[n]["status"] and stored[n]["categories"] == got[n]["categories"] for n in stored)
     seen = spark.createDataFrame([(r[0],) for r in fl.walk(spark, str(tmp_path), with_hash=True).where("path like '%a.txt'").select("file_hash").collect()], "file_hash string")
     assert "a.txt" not in {r["path"].rsplit("/", 1)[-1] for r in scan_folder(spark, str(tmp_path), seen).collect()}
 

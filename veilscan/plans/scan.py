@@ -11,7 +11,7 @@ from ..functions import rules
 from ..functions.text import chunks, stream_chunks
 from ..operators.detect import Config, detect
 from ..operators.merge import MESSAGES, entity_keys, finish, fold_chunks, unseen
-from ..sources.files import STREAMED, parse, walk
+from ..sources.files import STREAMED, binary_files, parse, walk
 
 
 def chunk_results(texts: DataFrame, size: int = 12_000, overlap: int = 500, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +48,11 @@ def scan_texts(texts: DataFrame, size: int = 12_000, overlap: int = 500, config:
     return finish(filled, entity_keys(entities))
 
 
-def scan_folder(spark: SparkSession, root: str, seen: DataFrame | None = None, readers: dict[str, Callable[[bytes], str | list[str]]] | None = None, **how) -> DataFrame:
-    """File results for a folder. seen: file_hash of contents known before. readers: see parse()."""
-    files = unseen(walk(spark, root, with_hash=True), seen)
+def scan_folder(spark: SparkSession, root: str, seen: DataFrame | None = None, readers: dict[str, Callable[[bytes], str | list[str]]] | None = None, store: bool | None = None, **how) -> DataFrame:
+    """File results for a folder. seen: file_hash of contents known before. readers: see parse(). store: list and read by Spark, as any folder must be that not every machine
+    can open; by default where root is the address of one."""
+    store = "://" in root and not root.startswith("file://") if store is None else store
+    files = unseen(binary_files(spark, root) if store else walk(spark, root, with_hash=True), seen)
     texts = parse(files, readers)
     cut = F.when(F.col("extension").isin(*STREAMED), "stream").when(F.col("pages").isNotNull(), "pages").otherwise("whole")
     return scan_texts(texts.withColumn("cut", cut), **how)

@@ -60,7 +60,7 @@ def walk(spark: SparkSession, root: str, suffixes: list[str] | None = None, most
 
 
 def binary_files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
-    """path, size_bytes, extension, file_hash, content by Spark's own reader, which takes any store (and leaves out names that begin with an underscore)."""
+    """path, size_bytes, extension, file_hash, content by Spark's own reader, which takes any store (and leaves out empty files and names that begin with an underscore)."""
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return own.where(ext.isin(suffixes or SUFFIXES)).select("path", F.col("length").alias("size_bytes"), ext.alias("extension"), F.sha2("content", 256).alias("file_hash"), "content")
