@@ -53,6 +53,20 @@ def test_pdf():
     assert fl.read_file(".pdf", 9, lambda: _pdf(["a", "", "b"]), fl.READERS)[1] == "[Страница 1]\na\nsecond Иx\n\n[Страница 3]\nb\nsecond Иx"
 
 
+def test_metadata():
+    assert fl.metadata(".pdf", _pdf(["a", "b"]).replace(b"/Root 1 0 R", b"/Root 1 0 R /Info << /Author (Anna) /Title <feff0418> >>")) == {"pages": "2", "author": "Anna", "title": "И", "subject": None, "creator": None}
+    assert fl.metadata(".html", b"<title> A &amp; b</title>") == {"parser_mode": "visible_text_only", "title": "A & b"} and fl.metadata(".txt", "я".encode("cp1251") * 9)["encoding"] != "utf-8"
+    assert fl.metadata(".docx", _docx())["author"] == "" and fl.metadata(".docx", b"no zip") == {} and fl.metadata(".xlsx", _xlsx())["sheets"] == "S1" and fl.metadata(".exe", b"") == {}
+    assert fl.read_file(".png", 3, lambda: b"png", fl.READERS)[3] == [fl.NO_OCR] and fl.read_file(".png", 3, lambda: b"png", fl.READERS | {".png": lambda b: "said"})[:2] == ("success", "said")
+    assert fl.read_file(".png", 3, lambda: b"png", fl.READERS | {".png": lambda b: 1 // 0})[3] == ["OCR error: ZeroDivisionError: integer division or modulo by zero"]
+
+
+def test_session(spark):
+    from veilscan.session import session
+
+    assert session(spark_sql_ansi_enabled="true") is not None and spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
 def test_charset():
     text = "Сегодня хорошая погода, и мы идём гулять по берегу реки. Паспорт выдан отделом внутренних дел."
     for name in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "cp1251", "koi8-r", "cp866", "iso8859-5"):
@@ -104,7 +118,7 @@ def test_scan_folder(spark, tmp_path):
     # a reader's failure leaves a file without text and with a warning; only where nothing comes out at all the file is empty
     assert {n: (r["status"], r["chunk_count"], bool(r["warnings"])) for n, r in got.items() if n not in ("a.txt", "b.json")} == {
         "_kept.md": ("success", 1, False), "broken.docx": ("success", 1, True), "v.mp4": ("success", 1, True), "none.txt": ("empty", 0, False), "bad.json": ("success", 1, True),
-        "scan.pdf": ("success", 1, True), "text.pdf": ("success", 2, False), "bad.pdf": ("empty", 0, False), "x.bmp": ("empty", 0, False),
+        "scan.pdf": ("success", 1, True), "text.pdf": ("success", 2, False), "bad.pdf": ("empty", 0, False), "x.bmp": ("success", 1, True),
     }
     assert got["broken.docx"]["warnings"][0].startswith("DOCX parse error: ") and got["v.mp4"]["warnings"] == [fl.MP4_MESSAGE] and got["a.txt"]["ms"] > 0
     stored = {r["path"].rsplit("/", 1)[-1]: r for r in scan_folder(spark, f"file://{tmp_path}", store=True).collect()}

@@ -632,12 +632,12 @@ def _(spark, sf_dir):
     case when k = 6 then 'File too large for current worker limits' else '' end as error from k""",
 )
 def _(spark, sf_dir):
-    # a good and a broken JSON file, a picture without a reader, an empty text, a film, a table, a file over the limit
+    # a good and a broken JSON file, a suffix without a reader, an empty text, a film, a table, a file over the limit
     k, n = (F.col("s_suppkey") % 7).cast("int") + 1, F.col("s_name")
     pick = lambda *x: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in x]), k)
     text = pick("", "{", "x", "", "x", "", "x")
     text = F.when(k == 1, F.concat(F.lit('{"a": {"b": [null, "'), n, F.lit('"]}}'))).when(k == 6, F.concat(F.lit("имя,пусто\n"), n, F.lit(", \n"))).otherwise(text)
-    files = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.when(k == 7, 600_000_000).otherwise(9).cast("long").alias("size_bytes"), pick(".json", ".json", ".bmp", ".txt", ".mp4", ".csv", ".txt").alias("extension"), F.encode(text, "UTF-8").alias("content"))
+    files = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.when(k == 7, 600_000_000).otherwise(9).cast("long").alias("size_bytes"), pick(".json", ".json", ".xyz", ".txt", ".mp4", ".csv", ".txt").alias("extension"), F.encode(text, "UTF-8").alias("content"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
     return fl.parse(files).select(F.col("path").cast("long").alias("s_suppkey"), "status", "text", F.regexp_replace(first("warnings"), "^(JSON decode error): .*", "$1").alias("warning"), first("errors").alias("error"))
 

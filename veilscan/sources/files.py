@@ -18,14 +18,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pdf import page_texts
+from .pdf import page_texts, properties
 
 # Suffixes that a scan takes.
 SUFFIXES = [".txt", ".log", ".md", ".pdf", ".doc", ".docx", ".rtf", ".xlsx", ".xlsm", ".csv", ".json", ".parquet", ".html", ".htm", ".mp4", ".jpg", ".jpeg", ".png", ".tiff", ".bmp", ".gif", ".tmp"]
 LARGEST = 500_000_000
 SAMPLE = 65_536
+#: Suffixes whose texts are cut as they stream in; all others are one chunk, PDF pages are cut one by one.
+STREAMED = (".txt", ".log", ".tmp", ".md", ".rst")
 # Messages of files.
 NOT_FOUND, TOO_LARGE, NO_PDF_TEXT = "File not found", "File too large for current worker limits", "PDF contains no extractable text"
+NO_OCR = "OCR service connection failed"
 MP4_MESSAGE = "MP4 parsing is conservative and disabled by default"
 
 
@@ -274,15 +277,57 @@ def read_pdf(b: bytes) -> list[str]:
     return page_texts(b)
 
 
+IMAGES = (".jpg", ".jpeg", ".png", ".tiff", ".bmp", ".gif")
+
+
+def read_image(b: bytes) -> str:
+    """Stands in for a reader of pictures, which is given by suffix."""
+    raise ConnectionError(NO_OCR)
+
+
+# ---------------------------------------------------------------- what files say of themselves
+
+
+def _html_title(b: bytes) -> dict[str, str | None]:
+    m = re.search(r"(?is)<title\b[^>]*>(.*?)</title\s*>", _decode(b))
+    return {"parser_mode": "visible_text_only"} | ({"title": html.unescape(m[1]).strip()} if m else {})
+
+
+def _docx_properties(b: bytes) -> dict[str, str | None]:
+    core = _xml(zipfile.ZipFile(io.BytesIO(b)), "docProps/core.xml")
+    own = {x.tag.rpartition("}")[2]: x.text for x in core} if core is not None else {}
+    iso = lambda t: t.removesuffix("Z") + "+00:00" if t and t.endswith("Z") else t
+    return {"author": own.get("creator") or "", "title": own.get("title") or "", "subject": own.get("subject") or "", "created": iso(own.get("created")), "modified": iso(own.get("modified"))}
+
+
+def _sheets(b: bytes) -> dict[str, str | None]:
+    book = _xml(zipfile.ZipFile(io.BytesIO(b)), "xl/workbook.xml")
+    return {"parser_mode": "structured", "sheets": ", ".join(x.get("name") or "" for x in _all(book, "sheet"))}
+
+
+#: Metadata by suffix.
+METADATA: dict[str, Callable[[bytes], dict[str, str | None]]] = {
+    **dict.fromkeys(STREAMED, lambda b: {"encoding": charset(b)}), **dict.fromkeys((".csv", ".json", ".parquet"), lambda b: {"parser_mode": "structured"}), ".html": _html_title, ".htm": _html_title,
+    ".docx": _docx_properties, ".xlsx": _sheets, ".xlsm": _sheets, ".pdf": properties, ".mp4": lambda b: {"parser_mode": "conservative_mp4"}, **dict.fromkeys(IMAGES, lambda b: {"parser": "image_ocr", "size_bytes": str(len(b))}),
+}
+
+
+def metadata(extension: str, content: bytes) -> dict[str, str | None]:
+    """What a file says of itself: encoding, title, author, pages; nothing of a broken one."""
+    try:
+        return METADATA[extension](content) if extension in METADATA else {}
+    except Exception:  # what a broken file can raise is open
+        return {}
+
+
 READERS: dict[str, Callable[[bytes], str | list[str]]] = {
     **dict.fromkeys((".txt", ".log", ".tmp", ".md", ".rst"), read_text), ".csv": read_csv, ".json": read_json, ".parquet": read_parquet, ".doc": read_doc, ".rtf": read_rtf,
     ".html": read_html, ".htm": read_html, ".docx": read_docx, ".xlsx": read_xlsx, ".xlsm": read_xlsx, ".pdf": read_pdf, ".mp4": lambda b: "",
+    **dict.fromkeys(IMAGES, read_image),
 }
-#: Suffixes whose texts are cut as they stream in; all others are one chunk, PDF pages are cut one by one.
-STREAMED = (".txt", ".log", ".tmp", ".md", ".rst")
 # The beginnings of messages of readers that do not end the file.
 FAILED = {".csv": "CSV parse error", ".json": "JSON decode error", ".parquet": "Parquet parse error", ".xlsx": "XLSX parse error", ".xlsm": "XLSX parse error", ".docx": "DOCX parse error", ".doc": "DOC parse error", ".rtf": "RTF parse error", ".html": "HTML parse error", ".htm": "HTML parse error"}
-PARSED = "path string, extension string, status string, text string, pages array<string>, warnings array<string>, errors array<string>, ms double"
+PARSED = "path string, extension string, status string, text string, pages array<string>, warnings array<string>, errors array<string>, ms double, metadata map<string,string>"
 
 
 def read_file(extension: str, size: int, content: Callable[[], bytes], readers: dict[str, Callable[[bytes], str | list[str]]], largest: int = LARGEST) -> tuple[str, str, list[str] | None, list[str], list[str]]:
@@ -304,6 +349,8 @@ def read_file(extension: str, size: int, content: Callable[[], bytes], readers:
     except Exception as e:  # what a broken file can raise is open
         # JSON that is well-formed but cannot be walked, and readers that are not known here, end the file
         ends = extension not in FAILED or extension == ".json" and not isinstance(e, json.JSONDecodeError)
+        if extension in IMAGES:
+            return "success", "", None, [NO_OCR if isinstance(e, ConnectionError) else f"OCR error: {type(e).__name__}: {e}"], []
         return ("empty", "", None, [], []) if ends else ("success", "", None, [f"{FAILED[extension]}: {e}"], [])
     if isinstance(got, list):
         return "success", "\n\n".join(f"[Страница {k}]\n{t}" for k, t in enumerate(got, 1) if t), got, [] if any(t.strip() for t in got) else [NO_PDF_TEXT], []
@@ -313,7 +360,7 @@ def read_file(extension: str, size: int, content: Callable[[], bytes], readers:
 
 
 def parse(files: DataFrame, extra: dict[str, Callable[[bytes], str | list[str]]] | None = None, largest: int = LARGEST) -> DataFrame:
-    """path, extension, status, text, pages (of readers that give a list), warnings, errors, ms (spent on reading) of files (path, size_bytes, extension, and content, or else
+    """path, extension, status, text, pages (of readers that give a list), warnings, errors, ms (spent on reading), metadata of files (path, size_bytes, extension, and content, or else
     a path that executors can open). extra: readers by suffix - OCR for images - or replacements. See read_file()."""
     readers = READERS | (extra or {})
     has = "content" in files.columns
@@ -330,9 +377,11 @@ def parse(files: DataFrame, extra: dict[str, Callable[[bytes], str | list[str]]]
                         return x.read()
 
                 at = time.perf_counter()
-                rows.append((*read_file(f.extension, f.size_bytes, content, readers, largest), round((time.perf_counter() - at) * 1000, 3)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pd.DataFrame({"path": b.path, "extension": b.extension} | {c: list(v) for c, v in zip(("status", "text", "pages", "warnings", "errors", "ms"), cols, strict=True)})
+                got = read_file(f.extension, f.size_bytes, content, readers, largest)
+                said = metadata(f.extension, content()) if not got[4] else {}
+                rows.append((*got, round((time.perf_counter() - at) * 1000, 3), said))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pd.DataFrame({"path": b.path, "extension": b.extension} | {c: list(v) for c, v in zip(("status", "text", "pages", "warnings", "errors", "ms", "metadata"), cols, strict=True)})
 
     cols = ["path", "size_bytes", "extension"] + ["content"] * has
     return files.select(*cols).mapInPandas(run, PARSED)

@@ -101,6 +101,7 @@ class File:
                 head = [t for t, _ in tokens(body[: self.of(x.get("First", 0))])]
                 for k in range(0, len(head) - 1, 2):
                     self.objects.setdefault(int(head[k]), value(tokens(body, self.of(x["First"]) + int(head[k + 1])))[0])
+        self.info = next((x for t in trailers if isinstance(t, dict) and isinstance(x := self.of(t.get("Info")), dict)), {})
         self.roots = [t.get("Root") for t in trailers if isinstance(t, dict)]
 
     def _take(self, n: int, at: int) -> None:
@@ -290,3 +291,10 @@ def page_texts(b: bytes) -> list[str]:
         text = _content(pdf, body, pdf.of(page.get("Resources")) or {})
         out.append("\n".join(x.rstrip() for x in text.split("\n")).strip("\n"))
     return out
+
+
+def properties(b: bytes) -> dict[str, str | None]:
+    """How many pages, and who made the file."""
+    pdf = File(b)
+    said = lambda x: (x[2:].decode("utf-16-be", "replace") if x.startswith(b"\xfe\xff") else x.decode("latin-1")) if isinstance(x := pdf.of(x), bytes) else None
+    return {"pages": str(len(pdf.pages()))} | {k.lower(): said(pdf.info.get(k)) for k in ("Author", "Title", "Subject", "Creator")}
