@@ -186,6 +186,20 @@ def test_forest_isolates():
     assert f.score(far).min() > f.score(x).max()
 
 
+def test_quality_rules_fit_all_labelled_rows(spark):
+    """The limit is a quantile of all labelled good rows, and each of them is in a tree."""
+    rng, n = random.Random(5), 9000
+    rows = [(k, " ".join("ab#!|T"[rng.randrange(6)] * rng.randint(1, 9) + str(rng.randrange(40)) for _ in range(rng.randint(21, 40)))) for k in range(n)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    got = quality_rules.quality_rules(docs, labels, lose=0.05).toPandas()
+    ok = got[~got.base_failed]
+    assert len(ok) > 8500 and (ok.kept == (ok.anomaly <= np.quantile(ok.anomaly, 0.95) + 1e-12)).all()
+    f = spark.range(n).selectExpr("id as doc_id", "array(0D) as f")
+    for sample in (512, 8):
+        d = quality_rules.dealt(f, n, sample, 7).toPandas()
+        assert set(d.doc_id) == set(range(n)) and not d.duplicated(["tree", "doc_id"]).any() and d.tree.nunique() == quality_rules.TREES
+
+
 def test_op4(spark, docs, labels, odd, none):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -99,14 +99,19 @@ def remainder(doc_id, mod: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod)), F.lit(0))
 
 
+def labelled(labels: DataFrame, keep=None) -> DataFrame:
+    """doc_id, quality (0 or 1), each id once. keep: a condition on doc_id. An id labelled twice with different values is left out."""
+    own = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
+    own = own.where(keep(F.col("doc_id"))) if keep is not None else own
+    return own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, keep=None) -> DataFrame:
     """At most `most` labelled documents of each quality (doc_id, text, quality), those whose ids have the smallest hashes.
 
     Only ids and labels are ordered; the bounded list of ids is then joined to the texts. keep: a condition on doc_id.
     An id labelled twice with different values is left out; of rows of one id the one of the smallest hash counts, so the bound holds whatever repeats."""
-    own = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
-    own = own.where(keep(F.col("doc_id"))) if keep is not None else own
-    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
+    own = labelled(labels, keep)
     parts = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * most rows of two numbers
