@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -546,6 +548,22 @@ def test_gradients():
         assert math.isclose((up - down) / (2 * step), own[r, c], rel_tol=0.05, abs_tol=2e-5), name
 
 
+def test_training_looks_at_every_position(spark, monkeypatch):
+    """All words of the training documents are in the windows that the gate is trained on, and those of held-out ones in none."""
+    monkeypatch.setattr(lm_score, "GROUP", 500)
+    rng, path = random.Random(4), P.path("byte_bpe_50k.tiktoken")
+    texts = [b" ".join(rng.choice(b"alpha beta gamma delta epsilon".split()) + str(rng.randrange(99)).encode() for _ in range(n)) for n in (1500, 0, 3, 700)]
+    words, at, n = lm_score.numbered(iter(texts))
+    row = {"chunk": [0], "ids": [[0, 1, 2, 3]], "learn": [[True, True, True, False]], "sizes": [n.tolist()], "words": [zstandard.compress(b" ".join(words))], "at": [lm_score._zip(at, "<u4")]}
+    read = [b.to_pylist()[0] for b in lm_score._training(path, P.PATTERN, np.eye(2, lm_score.FEATURES, dtype=np.float32))(iter([pa.RecordBatch.from_pydict(row)]))]
+    used = [lm_score._unzip(r["counts"], "u1").reshape(-1, lm_score.SCORED + 1)[:, 1:].astype(bool) for r in read]
+    given = [lm_score._unzip(r["data"], "<u4").reshape(-1, lm_score.SPAN)[:, lm_score.CONTEXT :][u] for r, u in zip(read, used, strict=True)]
+    sub = lm_score._subwords(path, P.PATTERN)
+    want = [i for w in b" ".join([texts[0], texts[2]]).split() for i in sub.coder.encode_ordinary(" " + w.decode())]
+    got = np.concatenate(given)
+    assert len(read) >= 3 and got[got != sub.end].tolist() == want
+
+
 def test_training_in_parts_lowers_the_loss(spark):
     """Two kinds of streams: after averaged rounds the gate tells them apart."""
     rng = np.random.default_rng(3)

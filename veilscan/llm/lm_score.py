@@ -11,8 +11,9 @@ Everything is learned from all training documents, in passes over chunks of docu
 1. A chunk is made and stored as the numbers of its distinct words. Segments of SEGMENT words become vectors of hashed words; the chunk parts its segments by k-means, and centres
    of chunks are merged likewise, 64 at a time, to EXPERTS.
 2. Each segment goes to its nearest centre. A chunk sends its distinct words and its subword pairs, with their counts by expert, to ranges of their hashes, which add them up
-   and answer. Of every segment a run of RUN words is kept as training windows, so their number grows with the corpus.
-3. The attention model starts from the experts' token counts and is trained on all these windows, part by part; after each round the parts' weights are averaged.
+   and answer.
+3. The attention model starts from the experts' token counts and is trained on all windows of all training segments, part by part; after each round the parts' weights are averaged.
+   Windows are made from the chunks again in every round, some at a time, and never stored.
 4. Chunks meet their answers and are scored.
 
 Chunks are stored, so a repeated task finds the same ones; they are cut from the input's partitions, whatever the ids, so null and repeated ids do not gather.
@@ -42,11 +43,13 @@ from .common import remainder, stored, trim
 CONTEXT, SCORED = 8, 24
 SPAN = CONTEXT + SCORED
 EXPERTS, WIDTH = 12, 16
-FEATURES, SEGMENT, LOCAL, RUN = 256, 512, 24, 16
+FEATURES, SEGMENT, LOCAL = 256, 512, 24
 CHUNK, RANGE, PIECE = 16_000_000, 16_000_000, 1 << 20
 #: So many parts are added up in one task.
 STEP = 64
 ROUNDS, BATCH = 2, 96
+#: Ids of segments that become windows at once, and windows from which on a task trains on what it has, before it reads on.
+GROUP, ENOUGH = 400_000, 60_000
 DISCOUNT, PAIR, START, STOP, ENDS = 0.75, 5.0, 20.0, 2.0, 1e-6
 
 
@@ -451,7 +454,6 @@ def _counter(path: str, pattern: str, ranges: int, c: np.ndarray):
     def run(x: dict) -> list[tuple]:
         sub, t, k = _subwords(path, pattern), _texts(x), len(c)
         own = np.argmax(t.features() @ c.T, 1)
-        learn = t.learn[t.owner]
         words = np.bincount(t.at[use := t.learn[t.doc]].astype(np.int64) * k + own[t.segment[use]], minlength=len(t.words) * k).reshape(-1, k)
         chunk, rows = x["chunk"], []
         order = np.argsort(t.hash, kind="stable")
@@ -480,18 +482,6 @@ def _counter(path: str, pattern: str, ranges: int, c: np.ndarray):
         table[-1] = np.bincount(own[final[t.learn]], minlength=k)
         some = np.nonzero(table.any(1))[0]
         rows.append((chunk, "t", 0, _names(some), _counts(table[some])))
-        # a run of words of each training segment
-        length = np.bincount(t.segment, minlength=len(t.owner))
-        segs = np.nonzero(learn & (length > 0))[0]
-        if len(segs):
-            run_len = np.minimum(length[segs], RUN)
-            from_ = np.searchsorted(t.segment, segs) + (_mix(segs + 1) % (length[segs] - run_len + 1).astype(np.uint64)).astype(np.int64)
-            picked = t.at[spread(from_, run_len)]
-            flat = ids[spread(start[picked], size[picked])]
-            total = np.add.reduceat(size[picked], np.cumsum(run_len) - run_len)
-            given, used, _ = windows(flat, total, np.zeros(len(flat), bool), sub.end)
-            label = np.repeat(own[segs], -(-(total + 1) // SCORED))
-            rows.append((chunk, "x", 0, _zip(given, "<u4"), _zip(np.concatenate([label[:, None], used], 1), "u1")))
         return rows
 
     return run
@@ -572,17 +562,52 @@ def _part(part: int, n: float, token: np.ndarray, seen: np.ndarray, e: np.ndarra
     return part, n, token.astype("<i8").tobytes(), seen.astype("<f8").tobytes(), e.astype("<f8").tobytes(), rest.astype("<f8").tobytes()
 
 
-def _trained(gate: Gate, round_: int):
-    """The weights after a round over each few windows' rows: sums over the windows, of an embedding over the places of its token."""
+def _training(path: str, pattern: str, c: np.ndarray):
+    """All windows of the training segments of chunks, GROUP ids at a time: data (the windows), counts (for each its segment's expert and which positions are used)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        got = [(_unzip(d.as_py(), "<u4").reshape(-1, SPAN), _unzip(c.as_py(), "u1").reshape(-1, SCORED + 1)) for b in it for d, c in zip(b.column(0), b.column(1), strict=True)]
-        if got:
+        for b in it:
+            for k in range(b.num_rows):
+                sub, t = _subwords(path, pattern), _texts(b.slice(k, 1).to_pylist()[0])
+                own, (ids, start) = np.argmax(t.features() @ c.T, 1), sub.flat(t.words)
+                size, words = np.diff(start), np.bincount(t.segment, minlength=len(t.owner))
+                total, first = np.bincount(t.segment, size[t.at], len(t.owner)).astype(np.int64), np.cumsum(words) - words
+                segs = np.nonzero(t.learn[t.owner] & (words > 0))[0]
+                for group in np.split(segs, np.nonzero(np.diff(np.cumsum(total[segs]) // GROUP))[0] + 1):
+                    if len(group):
+                        picked = t.at[spread(first[group], words[group])]
+                        given, used, _ = windows(ids[spread(start[picked], size[picked])], total[group], np.zeros(int(total[group].sum()), bool), sub.end)
+                        label = np.repeat(own[group], -(-(total[group] + 1) // SCORED))
+                        yield pa.RecordBatch.from_pydict({"data": pa.array([_zip(given, "<u4")], pa.binary()), "counts": pa.array([_zip(np.concatenate([label[:, None], used], 1), "u1")], pa.binary())})
+
+    return run
+
+
+def _trained(gate: Gate, round_: int, made=None):
+    """The weights after a round over each few windows' rows, ENOUGH windows at a time: sums over the windows, of an embedding over the places of its token. made: makes such
+    rows from the rows of a partition."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, new, n, seen, got = TaskContext.get().partitionId(), gate, 0, np.zeros(len(gate.w["e"])), []
+
+        def learn() -> None:
+            nonlocal new, n, seen
             ids, side = (np.concatenate(x) for x in zip(*got, strict=True))
-            new = gate.fit(ids.astype(np.int64), side[:, 0].astype(np.int64), side[:, 1:].astype(bool), 0.02 / (1 + round_), round_)
-            token, seen = np.unique(ids, return_counts=True)
-            row = _part(part, len(ids), token, seen, new.w["e"][token] * seen[:, None], _rest(new.w) * len(ids))
+            got.clear()
+            new = new.fit(ids.astype(np.int64), side[:, 0].astype(np.int64), side[:, 1:].astype(bool), 0.02 / (1 + round_), round_)
+            n += len(ids)
+            seen += np.bincount(ids.reshape(-1), minlength=len(seen))
+
+        for b in made(it) if made else it:
+            for d, c in zip(b.column(0), b.column(1), strict=True):
+                got.append((_unzip(d.as_py(), "<u4").reshape(-1, SPAN), _unzip(c.as_py(), "u1").reshape(-1, SCORED + 1)))
+                if sum(len(x) for x, _ in got) >= ENOUGH:
+                    learn()
+        if got:
+            learn()
+        if n:
+            token = np.nonzero(seen)[0]
+            row = _part(part, n, token, seen[token], new.w["e"][token] * seen[token][:, None], _rest(new.w) * n)
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _PART, strict=True)], schema=_PART)
         trim()
 
@@ -601,11 +626,11 @@ def _summed(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([x], f.type) for x, f in zip(_part(rows[0]["part"], sum(r["n"] for r in rows), token, seen, e, rest), _PART, strict=True)], schema=_PART)
 
 
-def train_gate(kept: DataFrame, parts: int, tokens: np.ndarray) -> Gate:
-    """The attention model, trained on all kept windows (data, counts), a part of them in each partition (parts at most), in ROUNDS."""
+def train_gate(kept: DataFrame, parts: int, tokens: np.ndarray, made=None) -> Gate:
+    """The attention model, trained on all windows (data, counts) that `made` makes of the rows kept, or that these are, a part of them in each partition (parts at most), in ROUNDS."""
     gate = Gate.start(tokens)
     for k in range(ROUNDS):
-        got, groups = kept.select("data", "counts").mapInArrow(_trained(gate, k), PART), parts
+        got, groups = (kept if made else kept.select("data", "counts")).mapInArrow(_trained(gate, k, made), PART), parts
         while groups > 1:
             groups = math.ceil(groups / STEP)
             got = got.withColumn("part", F.col("part") % groups).groupBy("part").applyInArrow(_summed, PART)
@@ -751,7 +776,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, mod: int = 5, out: int =
     told_stats = told.where("chunk = -1 and kind = 'w'").select(F.posexplode(F.split(F.col("data").cast("string"), ",")))
     for r in told_stats.groupBy("pos").agg(F.sum(F.col("col").cast("long")).alias("n")).collect():
         stats[r["pos"]] = r["n"]
-    gate = train_gate(sent.where("kind = 'x'"), n, by_token[4])
+    gate = train_gate(chunks.drop("centres", "mass"), n, by_token[4], _training(path, pattern, c))
     experts = Experts(*stats[:-1].reshape(2, k), tables[-1], by_token[:4])
     told = told.where("chunk >= 0").select("chunk", "kind", "r", "counts")
     return chunks.drop("centres", "mass").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scorer(path, pattern, gate, experts, ranges, int(stats[-1])), OUT)
