@@ -8,7 +8,7 @@ all below both are linked already. What leaves a bucket is a spanning forest of
 Routing: for a limit of d bits, `blocks` blocks of which blocks - d must be equal (every linked pair shares such a set: exact).
 
 Near copies (`without_copies`) meet by the prefixes of their shingle sets. Each set has a fingerprint of parities, of which two differ in no more bits than
-the sets in shingles: the same index, over the fingerprints of those that meet, drops only pairs that cannot be alike. The others are verified on the sets.
+the sets in shingles: the same index, over the fingerprints of those that meet, drops only pairs that cannot be alike. The others are verified, by cells of pairs, so that a set is sent to a cell once and not with every pair.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; a text of fewer words
 than a shingle is one shingle; equal rows share a component; a null doc_id never names a component unless it stands alone, where
@@ -305,6 +305,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = 4) -> Dat
 ONE_OF, COMMON, MOST_COMMON, STARS, TRIED = 8, 3, 300_000, 3, 64
 #: Words of a fingerprint of parities, words of what the index sorts, and the size of lists from which on it is built.
 PARITY, FOLDED, LARGE = 32, 4, 48
+#: About the bytes that a cell of pairs gets of a group.
+CELL = 16_000_000
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -317,9 +319,16 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63)
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Bit k: whether the hashes of a set that fall on k are odd in number. A shingle that one of two sets has turns one bit, so fingerprints differ in no more bits than the sets."""
-    return np.packbits((np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8), bitorder="little")
+def parities(s: np.ndarray, words: int = 0) -> np.ndarray:
+    """Bit k: whether the hashes of a set that fall on k are odd in number. A shingle that one of two sets has turns one bit, so fingerprints differ in no more bits than the sets.
+    Fingerprints of more words (a power of two times PARITY) fold to those of fewer."""
+    size = 64 * (words or PARITY)
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little")
+
+
+def wide(n: int) -> int:
+    """Words of parities that tell sets of n shingles apart: a bit a shingle, PARITY at least."""
+    return PARITY << (max(n - 1, 0) // (64 * PARITY)).bit_length()
 
 
 def _apart(n: np.ndarray, least: float) -> np.ndarray:
@@ -365,11 +374,12 @@ def _prefixes(shingle: int, least: float, common: np.ndarray, rank: np.ndarray):
 
 
 def _sets(shingle: int):
+    """node, n, the set and as many parities as suit it."""
     def rows(b: pa.RecordBatch) -> dict:
         got = [shingle_set(x, shingle) for x in bytes_of(b)]
-        return {"node": [_node(s) for s in got], "set": [s.tobytes() for s in got]}
+        return {"node": [_node(s) for s in got], "n": [len(s) for s in got], "set": [s.tobytes() for s in got], "wide": [parities(s, wide(len(s))).tobytes() for s in got]}
 
-    return batches(rows, pa.schema([("node", pa.int64()), ("set", pa.binary())]))
+    return batches(rows, pa.schema([("node", pa.int64()), ("n", pa.int32()), ("set", pa.binary()), ("wide", pa.binary())]))
 
 
 def _postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,16 +478,16 @@ def _alive(least: float):
 
 
 def _asked(least: float, star: int):
-    """mapInArrow function over whole lists (list, node, n, bits, root, own): pairs (a, b), a > b, of different roots. star: the number of a round in which each row of
+    """mapInArrow function over whole lists (list, node, n, bits, root, own): pairs (a, b), a > b, of different roots, and n of the smaller. star: the number of a round in which each row of
     its own asks for one partner, 0: all pairs."""
 
-    def told(c: np.ndarray, d: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.unique(np.stack([np.maximum(node[c], node[d]), np.minimum(node[c], node[d])], 1), axis=0)
+    def told(c: np.ndarray, d: np.ndarray, node: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.unique(np.stack([np.maximum(node[c], node[d]), np.minimum(node[c], node[d]), np.minimum(n[c], n[d])], 1), axis=0)
 
     def nearest(x: dict, bits: np.ndarray, head: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For each row that asks in its list the one of the fewest differing bits among TRIED rows of other roots that may be alike."""
         begin, room = np.repeat(head, size), np.repeat(size, size)
-        out = [np.zeros((0, 2), np.int64)]
+        out = [np.zeros((0, 3), np.int64)]
         at = np.nonzero(x["own"] & (room > 1))[0]
         for k in range(0, len(at), 512):
             d = at[k : k + 512]
@@ -491,7 +501,7 @@ def _asked(least: float, star: int):
             apart = np.where(ok, apart, 1 << 30)
             best = np.argmin(apart, 1)
             has = ok[np.arange(len(d)), best]
-            out.append(told(c[np.arange(len(d)), best][has], d[has], x["node"]))
+            out.append(told(c[np.arange(len(d)), best][has], d[has], x["node"], n))
         return np.unique(np.concatenate(out), axis=0)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,42 +509,77 @@ def _asked(least: float, star: int):
             return
         x, bits, head, size = got
         n, node, root = x["n"].astype(np.int64), x["node"], x["root"]
-        found = np.zeros((0, 2), np.int64)
+        found = np.zeros((0, 3), np.int64)
         if star:
             found = nearest(x, bits, head, size, n)
         else:
             parts = []
             for c, d in _candidates(head, size, n, bits, root, least):
-                parts.append(told(c, d, node))
+                parts.append(told(c, d, node, n))
                 if sum(map(len, parts)) > 1_000_000:
                     parts = [np.unique(np.concatenate(parts), axis=0)]
             if parts:
                 found = np.unique(np.concatenate(parts), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
+        yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1], "n": found[:, 2].astype(np.int32)})
         trim()
 
     return run
 
 
-def _alike(least: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _alike(p: np.ndarray, q: np.ndarray, least: float) -> bool:
+    """Whether sets have the similarity."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= least * (len(p) + len(q) - both) - 1e-9
+
+
+def _perhaps(p: np.ndarray, q: np.ndarray, n: int, m: int, least: float) -> bool:
+    """Whether sets of n and m shingles may have the similarity, by their parities."""
+    if min(n, m) < least * max(n, m) - 1e-9:
+        return False
+    few = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(x.reshape(-1, few), axis=0) for x in (p, q))
+    return bool(np.bitwise_count(p ^ q).sum(dtype=np.int64) <= _apart(n + m, least))
+
+
+def _of_cell(least: float, exact: bool):
+    """Of the pairs (a, b) of a cell those that are alike, or may be, by what is held of its nodes (node, n, data: the set or parities); with n of the smaller."""
+
+    def run(ask: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = ask.column("a").to_numpy(), ask.column("b").to_numpy()
+        node, n = held.column("node").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+        data, order = [np.frombuffer(x.as_py(), np.uint64) for x in held.column("data")], np.argsort(node)
+        i, j = (order[np.searchsorted(node, x, sorter=order)] if len(x) else np.zeros(0, np.int64) for x in (a, b))
+        ok = [_alike(data[x], data[y], least) if exact else _perhaps(data[x], data[y], n[x], n[y], least) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        ok = np.array(ok, bool)
+        out = pa.table({"a": a[ok], "b": b[ok], "n": np.minimum(n[i], n[j])[ok].astype(np.int32)})
+        del data
+        trim()
+        return out
 
     return run
 
 
+def judged(ask: DataFrame, held: DataFrame, least: float, total: int, exact: bool = True) -> DataFrame:
+    """(a, b, n): those of the stored distinct pairs `ask` that _of_cell() accepts. held: node, n, data, `total` bytes of data or so.
+
+    Nodes are dealt into groups and pairs into cells of two groups; each cell gets what is held of a node once, however many of its pairs the node is in."""
+    conf = int(ask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(2 * math.isqrt(conf), math.ceil(total / CELL))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    dealt = ask.select("a", "b", (F.least(group("a"), group("b")) * groups + F.greatest(group("a"), group("b"))).alias("cell"))
+    need = dealt.select(F.col("cell").alias("at"), F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
+    need = need.join(held.select("node", "n", "data").hint("merge"), "node")
+    return dealt.groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(_of_cell(least, exact), "a long, b long, n int")
+
+
 def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, with all columns, without near copies: of each group linked by a Jaccard similarity of the distinct shingles the row of the smallest doc_id stays.
 
     Exact: two such sets share a shingle among the first of each (`prefix_size`), so they meet in the list of that shingle; every link is verified on the
     whole sets. In some rounds every text asks for its likeliest partner of a list, which joins large groups; the last asks all pairs of a list that are in different
-    components still, may be alike by their fingerprints and have not failed. Rows of equal doc_id and text count as one; rows without doc_id stay only if no named row is in their group."""
+    components still, may be alike by their fingerprints and have not failed.
+
+    Rows of equal doc_id and text count as one; rows without doc_id stay only if no named row is in their group."""
     spark = docs.sparkSession
     row = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NAMELESS)).alias("_id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
@@ -552,7 +597,7 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     dealt = nodes.select("node", "n", "prefix").mapInArrow(_postings, "shingle long, node long, n int").repartition(max(conf, int(total) // 1_000_000 + 1), "shingle")
     met = stored(dealt.mapInArrow(_lists(similarity), "list long, node long, n int"), "met")
     parts = max(conf, met.count() // 1_000_000 + 1)
-    # fingerprints come to the rows of lists; rows without a partner that may be alike go, before any set is made
+    # parities come to the rows of lists; rows without a partner that may be alike go, before any set is made
     met_bits = met.join(nodes.select("node", "bits").hint("merge"), "node").select("list", "node", "n", "bits")
     lists = stored(met_bits.repartition(parts, "list").mapInArrow(_alive(similarity), "list long, node long, n int, bits binary"), "lists")
     discard(met)
@@ -560,7 +605,8 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     asked = lists.select("node").distinct()
     rows = prints.join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(row("doc_id"), F.col("key").alias("_key"))).alias("e")).select("e.*").distinct()
     texts = docs.select("text", row("doc_id"), F.xxhash64("text").alias("_key")).join(rows.hint("merge"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    sets = stored(texts.select("text").mapInArrow(_sets(shingle), "node long, set binary"), "sets")
+    sets = stored(texts.select("text").mapInArrow(_sets(shingle), "node long, n int, set binary, wide binary"), "sets")
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
 
     good = roots = failed = None
     for star in (*range(1, STARS + 1), 0):
@@ -570,10 +616,13 @@ def without_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             now = now.withColumn("own", place == F.min(place).over(Window.partitionBy("node")))
         else:
             now = now.withColumn("own", F.lit(True))
-        ask = now.select("list", "node", "n", "bits", "root", "own").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long").distinct()
-        ask = stored(ask if failed is None else ask.join(failed.hint("merge"), ["a", "b"], "left_anti"), "ask")
-        pairs = ask.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-        new = stored(pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "good")
+        ask = now.select("list", "node", "n", "bits", "root", "own").repartition(parts, "list").mapInArrow(_asked(similarity, star), "a long, b long, n int").distinct()
+        ask = stored(ask if failed is None else ask.join(failed.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "ask")
+        # sets of more shingles than the parities so far have bits are told apart by more of these
+        large = ask.where(F.col("n") > 64 * PARITY)
+        perhaps = stored(judged(large, sets.withColumnRenamed("wide", "data"), similarity, shingles // 4, exact=False).union(ask.where(F.col("n") <= 64 * PARITY)), "perhaps")
+        new = stored(judged(perhaps, sets.withColumnRenamed("set", "data"), similarity, 8 * shingles).select("a", "b"), "good")
+        discard(perhaps)
         good, failed = (new, ask) if good is None else (good.union(new), failed.union(ask))
         if roots is not None:
             discard(roots)
