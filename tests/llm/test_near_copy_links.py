@@ -1,4 +1,4 @@
-"""Near copies: sets are not sent with every pair."""
+"""Near copies: first links come from SimHash fingerprints, and sets are not sent with every pair."""
 
 import itertools
 import random
@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from veilscan.llm import simhash
+from veilscan.llm.common import components, label_by_min, stored
 
 
 def words(rng, n):
@@ -36,6 +37,32 @@ def test_long_texts_of_many_pairs(spark):
     assert shuffled(spark) - before < 12 * sets  # of 1830 pairs with two sets each, thirty times as much as all sets
 
 
+def test_fingerprint_links_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.int64)
+    f = np.concatenate([base, base[:20], *(base ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, (k, 60)), axis=0) for k in (1, 4, 6, 8))])
+    nodes = stored(spark.createDataFrame([(int(k) + 100, int(x)) for k, x in enumerate(f)], "node long, f0 long"), "nodes")
+    got = simhash.fingerprint_links(nodes, simhash.BITS)
+    rows = got.collect()
+    u = f.view(np.uint64)
+    assert all(r["a"] > r["b"] and np.bitwise_count(u[r["a"] - 100] ^ u[r["b"] - 100]) <= simhash.BITS for r in rows)
+    near = [(a, b) for a, b in itertools.combinations(range(len(f)), 2) if np.bitwise_count(u[a] ^ u[b]) <= simhash.BITS]
+    want = label_by_min(len(f), *(np.array(x) for x in zip(*near, strict=True)))
+    root = {r["node"] - 100: r["root"] - 100 for r in components(got).collect()}
+    assert [root.get(k, k) for k in range(len(f))] == want.tolist()
+
+
+def test_copies_that_fingerprints_alone_find(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_lists", lambda least: lambda it: (b.slice(0, 0) for b in it if False))
+    rng, texts = random.Random(6), []
+    for _ in range(30):
+        own = words(rng, 400)
+        texts += [" ".join(own), " ".join(own[:-1] + words(rng, 1)), " ".join(words(rng, 400))]
+    kept = {r["doc_id"] for r in simhash.without_copies(table(spark, texts)).select("doc_id").collect()}
+    assert {k for k in range(90) if k % 3 != 1} <= kept
+    assert len(kept) < 65  # most copies go, without the lists of prefixes
+
+
 def test_cells_are_exact(spark):
     rng = np.random.default_rng(4)
     own = rng.integers(0, 2**63, 9000, dtype=np.uint64)
