@@ -257,54 +257,76 @@ class Gate:
         logits, (ids, x, q, k, v, s, a, own, h, m, z) = self.forward(ids, True)
         n, rows, use = len(ids), np.arange(len(logits)), valid.reshape(-1).astype(np.float32)
         use /= max(use.sum(), 1)
-        logits -= logits.max(-1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(-1, keepdims=True)
+        logits -= functools.reduce(np.maximum, logits.T)[:, None]  # column by column: rows are short
+        p = np.exp(logits, out=logits)
+        p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
         goal = goal.reshape(-1)
-        loss = -float((np.log(p[rows, goal] + 1e-20) * use).sum())
-        p[rows, goal] -= 1
+        own_p = p[rows, goal]
+        loss = -float(np.log(own_p + 1e-20) @ use)
+        p[rows, goal] = own_p - 1
         p *= use[:, None]
-        g = {"c": z.T @ p, "cb": p.sum(0)}
+        one = np.ones(len(p), p.dtype)
+        g = {"c": z.T @ p, "cb": one @ p}
         dz = p @ w["c"].T
         g["g"] = m.T @ dz
-        dm = (dz @ w["g"].T) * (m > 0)
-        g["f"], g["fb"] = h.T @ dm, dm.sum(0)
+        dm = dz @ w["g"].T
+        dm *= m > 0
+        g["f"], g["fb"] = h.T @ dm, one @ dm
         dh = dz + dm @ w["f"].T
         g["o"] = a.T @ dh
-        da = (dh @ w["o"].T).reshape(n, SCORED, d)
+        da = dh @ w["o"].T
+        mean = np.einsum("ij,ij->i", da, a).reshape(n, SCORED, 1)  # what ds * s adds up to, as a is s @ v
+        da = da.reshape(n, SCORED, d)
         ds = da @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
+        ds -= mean
+        ds *= s
         dq, dk = (ds @ k).reshape(-1, d), ds.transpose(0, 2, 1) @ q
         g["q"] = own.T @ dq
         dkv = np.concatenate([dk.reshape(-1, d), dv.reshape(-1, d)], 1)
         g["kv"] = x.reshape(-1, d).T @ dkv
         dx = (dkv @ w["kv"].T).reshape(n, SPAN, d)
         dx[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(n, SCORED, d)
-        g["p"] = dx.sum(0)
-        flat, inv = np.unique(ids, return_inverse=True)
-        order = np.argsort(inv.reshape(-1), kind="stable")
-        head = np.searchsorted(inv.reshape(-1)[order], np.arange(len(flat)))
-        g["e"] = (flat, np.add.reduceat(dx.reshape(-1, d)[order], head, axis=0))
+        g["p"] = (np.ones(n, dx.dtype) @ dx.reshape(n, -1)).reshape(SPAN, d)
+        order = np.argsort(ids.reshape(-1), kind="stable")
+        flat = ids.reshape(-1)[order]
+        head = np.nonzero(np.r_[True, flat[1:] != flat[:-1]])[0]
+        g["e"] = (flat[head], np.add.reduceat(dx.reshape(-1, d)[order], head, axis=0))
         return loss, g
 
     def fit(self, ids: np.ndarray, goal: np.ndarray, valid: np.ndarray, rate: float, seed: int) -> Gate:
         """One round of Adam over windows: ids (n, SPAN), goal (n), valid (n, SCORED). Only the embeddings of tokens that occur move."""
         seen, inv = np.unique(ids, return_inverse=True)
-        ids, w = inv.reshape(ids.shape), {k: x.copy() for k, x in self.w.items()}
-        w["e"] = self.w["e"][seen]
-        own, m1, m2 = Gate(w), *({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        ids, names = inv.reshape(ids.shape).astype(np.uint16 if len(seen) <= 1 << 16 else np.int32), [k for k in self.w if k != "e"]
+        # all weights but the embeddings lie in one array, so that a step moves them at once
+        ends = np.cumsum([0] + [self.w[k].size for k in names])
+        rest = np.concatenate([self.w[k].reshape(-1) for k in names])
+        w = {k: rest[a:b].reshape(self.w[k].shape) for k, a, b in zip(names, ends, ends[1:], strict=False)} | {"e": self.w["e"][seen]}
+        own, (m1, m2, e1, e2) = Gate(w), (np.zeros_like(x) for x in (rest, rest, w["e"], w["e"]))
         order = np.random.default_rng(seed).permutation(len(ids))
         steps = -(-len(ids) // BATCH)
         for step in range(1, steps + 1):
             at = order[(step - 1) * BATCH : step * BATCH]
             _, g = own.gradients(ids[at], np.repeat(goal[at], SCORED), valid[at])
             now = rate * (1 - 0.9 * step / steps)
-            for k, x in g.items():
-                rows, x = x if k == "e" else (slice(None), x)
-                m1[k][rows] = 0.9 * m1[k][rows] + 0.1 * x
-                m2[k][rows] = 0.98 * m2[k][rows] + 0.02 * x * x
-                w[k][rows] -= now * (m1[k][rows] / (1 - 0.9**step)) / (np.sqrt(m2[k][rows] / (1 - 0.98**step)) + 1e-4)
+            rows, x = g.pop("e")
+            y = np.concatenate([g[k].reshape(-1) for k in names])
+            for grad, a, b in ((y, m1, m2), (x, e1[rows], e2[rows])):
+                a *= 0.9
+                a += 0.1 * grad
+                b *= 0.98
+                grad *= grad
+                grad *= 0.02
+                b += grad
+                move = np.sqrt(b * (1 / (1 - 0.98**step)))
+                move += 1e-4
+                np.divide(a, move, out=move)
+                move *= now / (1 - 0.9**step)
+                if a is m1:
+                    rest -= move
+                else:
+                    w["e"][rows] -= move
+                    e1[rows], e2[rows] = a, b
         out = {k: x for k, x in w.items()}
         out["e"] = self.w["e"].copy()
         out["e"][seen] = w["e"]
