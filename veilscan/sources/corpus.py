@@ -20,11 +20,10 @@ def nine(k: Column) -> Column:
 
 
 def snils_check(n: Column) -> Column:
-    """Check number of nine digits."""
+    """Check number of nine digits, not yet cut to the two that are written (of small numbers it can be 100)."""
     total = rules._weighted(n, list(range(9, 0, -1)))
     check = F.when(total < 100, total).when(total % 101 == 100, 0).otherwise(total % 101)
-    check = F.when(n.cast("int") <= 1001998, n.cast("int") % 101).otherwise(check)
-    return F.lpad(check.cast("string"), 2, "0")
+    return F.when(n.cast("int") <= 1001998, n.cast("int") % 101).otherwise(check)
 
 
 def inn_check(n: Column, weights: list[int]) -> Column:
@@ -49,9 +48,9 @@ def corpus(customer: DataFrame) -> DataFrame:
     base = base.withColumns({"twelve": inn_check(F.concat(n, F.lit("1"), "eleven"), rules.INN_12_LAST), "luhn": card_check(F.col("head"))})
     k, nine_, last = F.col("doc_id"), n, F.col("check")
     shown = F.concat_ws("-", F.substring(n, 1, 3), F.substring(n, 4, 3), F.substring(n, 7, 3))
-    bad = F.lpad(((last.cast("int") + 1) % 100).cast("string"), 2, "0")
+    good, bad = (F.lpad(x.cast("string"), 2, "0") for x in (last, (last + 1) % 100))
     texts = [
-        F.concat(F.lit("СНИЛС: "), shown, F.lit(" "), last),
+        F.concat(F.lit("СНИЛС: "), shown, F.lit(" "), good),
         F.concat(F.lit("СНИЛС: "), shown, F.lit(" "), bad),
         F.concat(F.lit("ИНН: "), n, F.col("ten")),
         F.concat(F.lit("ИНН "), n, F.lit("1"), "eleven", "twelve"),
