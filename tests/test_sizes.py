@@ -27,3 +27,7 @@ def same_as_sql(spark, at, name):
 def test_corpus_text_of_a_small_number(spark, keys):
     same_as_sql(spark, keys, "corpus_text")
     assert [r["text"] for r in core.queries()["corpus_text"](spark, keys).where("doc_id = 618769").collect()] == ["СНИЛС: 000-031-713 01"]
+
+
+def test_every_tax_number_is_spoilt(spark, keys):
+    same_as_sql(spark, keys, "rejected_by_checks")

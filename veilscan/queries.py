@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import levels, rules
@@ -258,15 +258,20 @@ def _(spark, sf_dir):
     return dt.confirmed(dt.evidence(dt.candidates(twice))).groupBy("doc_id", "type", "masked").agg(F.count("*").alias("n"))
 
 
-#: What spoils each kind of finding: its context, and its checksum, length or age.
+def _next_digit(text: Column, pattern: str) -> Column:
+    """Text with the next digit (0 after 9) for that of the pattern."""
+    return F.regexp_replace(text, F.lit(pattern), F.translate(F.regexp_extract(text, pattern, 0), "0123456789", "1234567890"))
+
+
+#: What spoils each kind of finding: its context, and its checksum (another check digit, whatever the number is), length or age.
 NO_CONTEXT = [("СНИЛС", "номер"), ("ИНН", "код"), ("карта 4", "карта 5"), (r"БИК \d{9}", "БИК"), ("дата рождения", "дата"), ("паспорт серия", "запись"), ("<", "X"), ("info@", "user@"), ("почта:", "почта"), ("клиент: ", ""), ("тел:", "тел"), ("образец: ", ""), ("Иванов Иван Иванович", "Филиал Иванов")]
-NO_CHECK = [("ИНН: 1", "ИНН: 9"), (r"(карта \d{15})\d", "$1"), (r"12\.03\.\d{4}", "12.03.2090")]
+NO_CHECK = [(r"(?<=ИНН: \d{9})\d", _next_digit), (r"(карта \d{15})\d", "$1"), (r"12\.03\.\d{4}", "12.03.2090")]
 
 
-def _spoilt(spark, sf_dir, how: list[tuple[str, str]]) -> DataFrame:
+def _spoilt(spark, sf_dir, how: list[tuple[str, str | Callable[[Column, str], Column]]]) -> DataFrame:
     text = F.col("text")
     for a, b in how:
-        text = F.regexp_replace(text, a, b)
+        text = b(text, a) if callable(b) else F.regexp_replace(text, a, b)
     return dt.exclusions(dt.candidates(_corpus(spark, sf_dir).select("doc_id", text.alias("text")))).select("doc_id", "reason", "n")
 
 
