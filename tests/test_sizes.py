@@ -1,9 +1,13 @@
-"""The corpus and its queries on keys beyond those of the small tables."""
+"""The corpus and its queries on keys beyond those of the small tables, and what plans do once and in several tasks."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veilscan import queries as core
+from veilscan.functions.text import guess_language
+from veilscan.operators import detect as dt
+from veilscan.sources.corpus import corpus
 
 from .test_sql import canonical
 
@@ -31,3 +35,24 @@ def test_corpus_text_of_a_small_number(spark, keys):
 
 def test_every_tax_number_is_spoilt(spark, keys):
     same_as_sql(spark, keys, "rejected_by_checks")
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_of_a_line_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "ИНН: 500100732259")], "doc_id long, text string")
+    assert optimized(dt.candidates(docs)).count("placeholder_template") == 1
+
+
+def test_letters_are_counted_once(spark):
+    df = spark.createDataFrame([("abc где",), ("где",), ("12",), (None,)], "t string")
+    plan = optimized(df.select(guess_language(F.col("t")).alias("guess")))
+    assert plan.count("regexp_replace") == 2
+    assert [r[0] for r in df.select(guess_language(F.col("t"))).collect()] == ["mixed", "rus", None, None]
+
+
+def test_keys_of_one_file_are_dealt_over_tasks(spark, keys):
+    c = corpus(spark.read.parquet(f"{keys}/customer.parquet"))
+    assert c.rdd.getNumPartitions() == 4  # as many as the session shuffles into

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def once(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(x), for which x is worked out once, however often fn names it: Spark would copy it to each place inside a higher-order function."""
+    return F.transform(F.array(x), fn)[0]
+
+
 def before(sizes: Column) -> Column:
     """For each of an array's numbers the sum of those before it. Sums are gathered in runs of 256, so the work stays linear."""
     kind = "struct<total:int,run:array<int>,done:array<array<int>>>"
@@ -38,9 +45,8 @@ def before(sizes: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """array<struct<idx, text, offset>> of the non-blank lines: raw line number, stripped text, start of the raw line with one character for each line end."""
-    parts = F.split(text, LINE_END)
-    starts = before(F.transform(parts, lambda x: F.length(x) + 1))
-    all_ = F.transform(F.zip_with(parts, starts, lambda t, o: F.struct(t.alias("t"), o.alias("o"))), lambda x, i: F.struct(i.alias("idx"), strip(x["t"]).alias("text"), x["o"].alias("offset")))
+    placed = once(F.split(text, LINE_END), lambda parts: F.zip_with(parts, before(F.transform(parts, lambda x: F.length(x) + 1)), lambda t, o: F.struct(t.alias("t"), o.alias("o"))))
+    all_ = F.transform(placed, lambda x, i: F.struct(i.alias("idx"), strip(x["t"]).alias("text"), x["o"].alias("offset")))
     return F.filter(all_, lambda x: x["text"] != "")
 
 
@@ -66,13 +72,12 @@ def matches(text: Column, pattern: str) -> Column:
     p = f"(?U){pattern}"
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())  # one gap more than matches
-    starts = before(F.transform(pairs, lambda x: x["g"] + F.length(x["m"])))
 
     def item(x: Column, at: Column) -> Column:
         return F.struct(x["m"].alias("value"), (at + x["g"]).alias("start"), (at + x["g"] + F.length(x["m"])).alias("end"))
 
     none = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return F.when(text.rlike(p), F.zip_with(pairs, starts, item)).otherwise(none)
+    return F.when(text.rlike(p), once(pairs, lambda x: F.zip_with(x, before(F.transform(x, lambda y: y["g"] + F.length(y["m"]))), item))).otherwise(none)
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:
@@ -109,9 +114,13 @@ def word_count(text: Column) -> Column:
 
 def guess_language(text: Column) -> Column:
     """rus, eng or mixed by the share of Cyrillic among Cyrillic and ASCII letters; null without letters."""
-    c, a = F.length(F.regexp_replace(text, "[^Ѐ-ӿ]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    share = c / (c + a)
-    return F.when(c + a > 0, F.when(share > 0.7, "rus").when(share < 0.3, "eng").otherwise("mixed"))
+    def guess(x: Column) -> Column:
+        share = x["c"] / (x["c"] + x["a"])
+        return F.when(x["c"] + x["a"] > 0, F.when(share > 0.7, "rus").when(share < 0.3, "eng").otherwise("mixed"))
+
+    # runs of other characters go at a time
+    c, a = (F.length(F.regexp_replace(text, f"[^{own}]+", "")) for own in ("Ѐ-ӿ", "A-Za-z"))
+    return once(F.struct(c.alias("c"), a.alias("a")), guess)
 
 
 def clean_ocr(text: Column) -> Column:

@@ -53,9 +53,8 @@ def _found(line: Column, pattern: str, kind: str, subtype: str, strength: str, c
     return F.transform(matches(line, pattern), item)
 
 
-def items(line: Column) -> Column:
-    """array of items of a line in the order of the rules; a placeholder word rejects the line as a whole."""
-    low = F.lower(line)
+def items(line: Column, low: Column) -> Column:
+    """array of items of a line, also given in lower case, in the order of the rules; a placeholder word rejects the line as a whole."""
     near = lambda words: contains_any(low, words)
     person, field = near(rules.PERSON), structured(line)
     p = rules.PATTERNS
@@ -85,8 +84,9 @@ def items(line: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """All items of all lines, accepted and rejected: doc_id, idx (line), ord (in the line), the item's fields, masked; start and end in the normal text."""
-    found = scopes(docs, text).where(F.col("line").rlike(MAY_HOLD)).select("doc_id", "idx", "offset", items(F.col("line")).alias("found"))
-    rows = found.select("doc_id", "idx", "offset", F.posexplode("found").alias("ord", "x")).select("doc_id", "idx", "ord", "offset", "x.*")
+    some = scopes(docs, text).where(F.col("line").rlike(MAY_HOLD)).withColumn("low", F.lower("line"))
+    # the items are the generator's own input: of a named column Spark would ask its size and whether it is null first, each time making all items anew
+    rows = some.select("doc_id", "idx", "offset", F.posexplode(items(F.col("line"), F.col("low"))).alias("ord", "x")).select("doc_id", "idx", "ord", "offset", "x.*")
     return rows.withColumns({"masked": F.when(F.col("rejected").isNull(), rules.mask(F.col("type"), F.col("value"))), "start": F.col("offset") + F.col("start"), "end": F.col("offset") + F.col("end")}).drop("offset")
 
 

@@ -40,9 +40,15 @@ def card_check(head: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def dealt(keys: DataFrame) -> DataFrame:
+    """Keys dealt by doc_id: a small file of them is one task, while the work on their documents is long. What groups by doc_id later needs no other shuffle."""
+    spark = keys.sparkSession
+    return keys.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 4 * spark.sparkContext.defaultParallelism)), "doc_id")
+
+
 def corpus(customer: DataFrame) -> DataFrame:
     """doc_id, path, text: one document for each customer, of kind doc_id % 12, with a name in the second line of every third."""
-    base = customer.select(F.col("c_custkey").alias("doc_id")).withColumn("nine", nine(F.col("doc_id")))
+    base = dealt(customer.select(F.col("c_custkey").alias("doc_id"))).withColumn("nine", nine(F.col("doc_id")))
     n = F.col("nine")
     base = base.withColumns({"check": snils_check(n), "ten": inn_check(n, rules.INN_10), "eleven": inn_check(F.concat(n, F.lit("1")), rules.INN_12), "head": F.concat(F.lit("4"), n, F.lit("12345"))})
     base = base.withColumns({"twelve": inn_check(F.concat(n, F.lit("1"), "eleven"), rules.INN_12_LAST), "luhn": card_check(F.col("head"))})
