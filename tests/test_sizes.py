@@ -56,3 +56,8 @@ def test_letters_are_counted_once(spark):
 def test_keys_of_one_file_are_dealt_over_tasks(spark, keys):
     c = corpus(spark.read.parquet(f"{keys}/customer.parquet"))
     assert c.rdd.getNumPartitions() == 4  # as many as the session shuffles into
+
+
+def test_no_side_that_grows_is_broadcast(spark, keys):
+    for name in ("job_stats", "detect_corpus"):
+        assert "Broadcast" not in core.queries()[name](spark, keys)._jdf.queryExecution().executedPlan().toString()

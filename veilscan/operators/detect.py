@@ -218,7 +218,8 @@ def detect(docs: DataFrame, text: str = "text", config: Config = Config()) -> Da
     found = _judged(candidates(docs, text), config.mediums)
     part = F.struct("_rank", "idx", "type", "subtype", "masked", "strength", "confidence", "start", "end", "reasons", rules.value_hash(F.col("value")).alias("value_hash"))
     per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kept"), part))).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("rejected").isNotNull(), F.struct("idx", "ord", F.col("rejected").alias("reason"))))).alias("_x"))
-    out = docs.select("doc_id").distinct().join(per, "doc_id", "left")
+    # both sides are dealt by doc_id; by the size of a file of keys Spark would broadcast one
+    out = docs.select("doc_id").distinct().join(per.hint("merge"), "doc_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(per.schema[c].dataType))
     out = out.withColumns({"_c": empty("_c"), "_x": empty("_x")})
     kinds = F.array_sort(F.array_distinct(F.transform("_c", lambda c: c["type"])))
