@@ -61,3 +61,13 @@ def test_keys_of_one_file_are_dealt_over_tasks(spark, keys):
 def test_no_side_that_grows_is_broadcast(spark, keys):
     for name in ("job_stats", "detect_corpus"):
         assert "Broadcast" not in core.queries()[name](spark, keys)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_findings_of_documents_without_an_id(spark, tmp_path):
+    rows = [(None, "карта 4111 1111 1111 1111"), (None, "нет"), (1, None), (2, "карта 4111 1111 1111 1111"), (2, "карта 4111 1111 1111 1111")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = core.queries()["card_findings"](spark, str(tmp_path)).collect(), con.execute(core.oracle_sql()["card_findings"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == 2
+    assert dt.detect(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() == 3

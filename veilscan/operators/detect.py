@@ -215,13 +215,10 @@ def confirmed(ev: DataFrame, mediums: int = 2) -> DataFrame:
 
 def detect(docs: DataFrame, text: str = "text", config: Config = Config()) -> DataFrame:
     """One row for every document: the assessment of the rules, the level, entities and diagnostics. The lines are searched once and their items shuffled once."""
-    found = _judged(candidates(docs, text), config.mediums)
+    # a row for each document goes with its items, so that one without items, or without an id, has its group too
+    found = _judged(candidates(docs, text).unionByName(docs.select("doc_id"), allowMissingColumns=True), config.mediums)
     part = F.struct("_rank", "idx", "type", "subtype", "masked", "strength", "confidence", "start", "end", "reasons", rules.value_hash(F.col("value")).alias("value_hash"))
     per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kept"), part))).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("rejected").isNotNull(), F.struct("idx", "ord", F.col("rejected").alias("reason"))))).alias("_x"))
-    # both sides are dealt by doc_id; by the size of a file of keys Spark would broadcast one
-    out = docs.select("doc_id").distinct().join(per.hint("merge"), "doc_id", "left")
-    empty = lambda c: F.coalesce(c, F.array().cast(per.schema[c].dataType))
-    out = out.withColumns({"_c": empty("_c"), "_x": empty("_x")})
     kinds = F.array_sort(F.array_distinct(F.transform("_c", lambda c: c["type"])))
     counts = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.size(F.filter("_c", lambda c: c["type"] == k)).cast("long"))))
     strength = lambda s: F.size(F.filter("_c", lambda c: c["strength"] == s))
@@ -231,7 +228,7 @@ def detect(docs: DataFrame, text: str = "text", config: Config = Config()) -> Da
     fields = _assessment(strength("STRONG"), strength("MEDIUM"), counts)
     chain = F.transform(F.slice("_c", 1, 50), lambda c: F.struct(F.concat(F.lit("line:"), c["idx"]).alias("scope"), c["type"].alias("type"), c["strength"].alias("strength"), c["reasons"].alias("reasons"), c["masked"].alias("masked")))
     entities = F.transform(F.slice("_c", 1, config.entities), lambda c: F.struct(*(c[k].alias(k) for k in ("type", "subtype", "masked", "start", "end", "confidence", "reasons", "value_hash"))))
-    return out.select(
+    return per.select(
         "doc_id", *(v.alias(k) for k, v in fields.items()), F.size("_c").cast("long").alias("hit_count"), F.map_from_entries(n).alias("excluded_candidates"),
         F.slice(F.transform(ranked, lambda x: F.struct(x["reason"].alias("reason"), x["n"].alias("n"))), 1, 10).alias("top_false_positive_sources"), chain.alias("evidence_chain"), entities.alias("entities"),
     )
